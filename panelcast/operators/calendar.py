@@ -63,27 +63,32 @@ class Horizon:
         return self.last_predicted - self.last_month
 
 
-def horizon_bounds(
-    calendar: DataFrame, as_of: dt.date | None = None, horizon: int = HORIZON
-) -> DataFrame:
-    """One row: number of the current month (one past the end if absent), of the last complete
-    month and of the last month to predict."""
+def _measured(calendar: DataFrame, as_of: dt.date | None, horizon: int) -> DataFrame:
     is_current = F.col("period") == first_day(clock(as_of))
     current = F.coalesce(F.max(F.when(is_current, F.col("month"))), F.max("month") + 1)
-    return calendar.agg(current.cast("int").alias("current_month")).select(
+    return calendar.agg(
+        current.cast("int").alias("current_month"), F.count("*").alias("n_months")
+    ).select(
         "current_month",
         (F.col("current_month") - 1).alias("last_month"),
         (F.col("current_month") - 1 + F.lit(horizon)).alias("last_predicted"),
+        "n_months",
     )
 
 
+def horizon_bounds(
+    calendar: DataFrame, as_of: dt.date | None = None, horizon: int = HORIZON
+) -> DataFrame:
+    """One row: number of the current month (one past the end if absent), of the last complete
+    month and of the last month to predict."""
+    return _measured(calendar, as_of, horizon).drop("n_months")
+
+
 def read_horizon(
     calendar: DataFrame, as_of: dt.date | None = None, horizon: int = HORIZON
 ) -> Horizon:
     """Fetch the bounds (one row) to the driver."""
-    row = horizon_bounds(calendar, as_of, horizon).join(
-        calendar.agg(F.count("*").alias("n_months"))
-    ).first()
+    row = _measured(calendar, as_of, horizon).first()
     if not row["n_months"]:
         raise ValueError("the history holds no period")
     if row["last_month"] < 0:

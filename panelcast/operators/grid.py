@@ -13,6 +13,15 @@ from panelcast.operators.catalog import Catalog
 from panelcast.schema import KEYS, MEASURES
 
 
+CELLS_PER_TASK = 250_000
+MOST_TASKS = 100_000
+
+
+def grid_tasks(n_cells: int) -> int:
+    """Partitions for a grid: about 50 MB of lagged cells each."""
+    return max(1, min(MOST_TASKS, -(-n_cells // CELLS_PER_TASK)))
+
+
 def monthly_sums(
     history: DataFrame, keys: Sequence[str] = KEYS, measures: Sequence[str] = MEASURES
 ) -> DataFrame:
@@ -47,7 +56,9 @@ def sparse_grid(
 
     Each series opens with a marker before month 0; each row then fills the months up to the
     next one. Only the markers and the cells that exist are shuffled, by ``series_id``; the
-    grid is unfolded behind that shuffle and stays partitioned for the windows to come.
+    grid is unfolded behind that shuffle and stays partitioned for the windows to come. The
+    number of partitions follows the size of the unfolded grid, which AQE cannot foresee from
+    the bytes it shuffles.
     """
     opening = catalog.ids().select("series_id", F.lit(-1).alias("month"))
     by_month = Window.partitionBy("series_id").orderBy("month")
@@ -55,6 +66,7 @@ def sparse_grid(
     own = F.col("slot") == F.col("month")
     return (
         opening.unionByName(cells, allowMissingColumns=True)
+        .repartition(grid_tasks(catalog.n_series * n_months), "series_id")
         .withColumn("upto", upto)
         .withColumn("slot", F.explode(F.sequence("month", "upto")))
         .filter(F.col("slot") >= 0)

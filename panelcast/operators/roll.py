@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +77,10 @@ def _fitted_once(
         scored = score_month(scoring, model, n_lags)
         path = F.array_append("path", F.col("y_pred"))
         scoring = next_month(scored.withColumn("path", path), "y_pred", n_lags, keep=["path"])
-    return scoring.select("series_id", F.posexplode("path").alias("step", "y_pred")).select(
+    # The outer form: for the inner one the optimizer adds a filter on the size of the path and
+    # copies all chained predictions into it.
+    steps = F.posexplode_outer("path").alias("step", "y_pred")
+    return scoring.select("series_id", steps).select(
         "series_id", (F.col("step") + last_month + 1).alias("month"), "y_pred"
     )
 
@@ -90,16 +95,24 @@ def predict_measures(
     n_lags: int = N_LAGS,
     retrain: str = "each_step",
 ) -> dict[str, DataFrame]:
-    """The same procedure for each measure of a frame with prefixed lags."""
-    return {
-        measure: recursive_predict(
+    """The same procedure for each measure of a frame with prefixed lags.
+
+    Measures do not depend on each other. Each is driven by a thread of its own, so that the
+    many short stages of one training fill the gaps of the other.
+    """
+
+    def roll(measure: str) -> DataFrame:
+        return recursive_predict(
             measure_frame(lagged, measure, n_lags),
-            estimator,
+            estimator.copy(),
             last_month,
             scratch,
             horizon,
             n_lags,
             retrain,
         )
-        for measure in measures
-    }
+
+    with ThreadPool(len(measures)) as pool:
+        inheriting = inheritable_thread_target(lagged.sparkSession)(roll)
+        tasks = [pool.apply_async(inheriting, (m,)) for m in measures]
+        return {m: task.get() for m, task in zip(measures, tasks)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
@@ -48,11 +49,13 @@ class Bound:
         self.scratch = Scratch(spark)
 
     def at(self, as_of: dt.date) -> Bound:
-        """The same history, with what was already written, seen on another day."""
-        other = object.__new__(Bound)
+        """The same sums, catalog and calendar seen on another day."""
+        other = copy.copy(self)
         other.__dict__.update(
-            {k: v for k, v in self.__dict__.items() if k not in ("bounds", "lagged")}
+            sums=self.sums, lists=self.lists, catalog=self.catalog, calendar=self.calendar
         )
+        for name in ("bounds", "grid", "complete", "lagged", "spine"):
+            other.__dict__.pop(name, None)
         other.as_of = as_of
         return other
 

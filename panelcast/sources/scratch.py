@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -33,11 +34,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/panelcast-{uuid.uuid4().hex}"
-        self._saved = 0
+        self._numbers = itertools.count(1)
 
     def folder(self, name: str) -> str:
-        self._saved += 1
-        return f"{self.path}/{self._saved:03d}-{name}"
+        """A path not used before."""
+        return f"{self.path}/{next(self._numbers):03d}-{name}"
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` once and return a scan of what was written."""
