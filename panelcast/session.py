@@ -11,7 +11,7 @@ def local_session(cores: int | str = "*", name: str = "panelcast") -> SparkSessi
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

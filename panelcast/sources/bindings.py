@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from panelcast.schema import AMOUNT, HISTORY
 
 
-def bound_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Customer columns that may serve as the first key, by size of the list they make.
+FIRST_KEYS = {"segment": "c_mktsegment", "nation": "c_nationkey", "customer": "c_custkey"}
+
+
+def bound_history(spark: SparkSession, sf_dir: str, first_key: str = "segment") -> DataFrame:
     """Line items as facts: segment, priority, status and flag are the business keys.
 
     Orders and customers are joined first, so that line items are shuffled once at most.
+    Another ``first_key`` makes more series of the same facts.
     """
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey", F.col("c_mktsegment").alias("bu")
+        "c_custkey", F.col(FIRST_KEYS[first_key]).cast("string").alias("bu")
     )
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey",

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset on a local master."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset on a local master.
+
+    The context is pointed to the same folder, for the checkpoints of iterative training.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    already_set = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not already_set:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    already_set = spark.sparkContext.getCheckpointDir()
     if already_set:
         return already_set
     if not spark.sparkContext.master.startswith("local"):

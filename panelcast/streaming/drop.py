@@ -10,7 +10,7 @@ from panelcast.schema import AUDIT, HISTORY, HISTORY_LABELS
 from panelcast.sources.tables import rename_columns
 
 
-def file_schema(fmt: str) -> T.StructType:
+def file_schema() -> T.StructType:
     """Schema of a dropped file, under its original labels."""
     types = {f.name: f.dataType for f in HISTORY.fields}
     return T.StructType(
@@ -40,10 +40,10 @@ def ingest_drop(
 ) -> None:
     """Take up everything new in ``drop_dir`` and return; without new files nothing happens.
 
-    The sources stay in place. A run that fails is repeated from its checkpoint, and both
+    Files are taken up oldest first, at most ``max_files`` to a batch. They stay in place. A run that fails is repeated from its checkpoint, and both
     tables are overwritten per batch, so no fact and no audit row is lost or doubled.
     """
-    reader = spark.readStream.schema(file_schema(fmt)).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(file_schema()).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
         reader = reader.option("mode", "FAILFAST")
@@ -51,14 +51,11 @@ def ingest_drop(
     tracked = dropped.select("*", F.col("_metadata").alias("file"))
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        files = (
-            batch.select(
-                F.col("file.file_path").alias("file_path"),
-                F.col("file.file_size").alias("file_size"),
-                F.col("file.file_modification_time").alias("file_mtime"),
-            )
-            .distinct()
-        )
+        files = batch.select(
+            F.col("file.file_path").alias("file_path"),
+            F.col("file.file_size").alias("file_size"),
+            F.col("file.file_modification_time").alias("file_mtime"),
+        ).distinct()
         _append_once(rename_columns(batch, HISTORY_LABELS), batch_id, history_path)
         _append_once(files, batch_id, audit_path)
 
@@ -71,8 +68,20 @@ def ingest_drop(
     query.awaitTermination()
 
 
-def read_ingested(spark: SparkSession, history_path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).parquet(history_path).select(*HISTORY.names)
+def read_ingested(
+    spark: SparkSession, history_path: str, audit_path: str | None = None
+) -> DataFrame:
+    """All facts taken up so far; with the audit table, only those of its newest batch.
+
+    The latter suits files that each hold the whole history, taken up with ``max_files=1``.
+    """
+    stored = T.StructType([*HISTORY.fields, T.StructField("batch_id", T.LongType())])
+    history = spark.read.schema(stored).parquet(history_path)
+    if audit_path is not None:
+        audit = spark.read.schema(AUDIT).parquet(audit_path)
+        newest = audit.agg(F.max("batch_id")).first()[0]
+        history = history.filter(F.col("batch_id") == newest)
+    return history.select(*HISTORY.names)
 
 
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
