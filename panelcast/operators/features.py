@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from panelcast.schema import N_LAGS, lag_name
 
@@ -17,13 +16,13 @@ def with_lags(
 
     All of them share one window specification, hence one sort of one partitioning.
     """
-    by_month = Window.partitionBy("series_id").orderBy("month")
+    by_month = "PARTITION BY series_id ORDER BY month"
     lags = [
-        F.lag(m, k, 0.0).over(by_month).alias(lag_name(k, m if prefixed else None))
+        f"lag({m}, {k}, 0D) OVER ({by_month}) AS {lag_name(k, m if prefixed else None)}"
         for m in measures
         for k in range(1, n_lags + 1)
     ]
-    return grid.select("*", *lags)
+    return grid.selectExpr("*", *lags)
 
 
 def with_diffs(frame: DataFrame, n_lags: int = N_LAGS) -> DataFrame:
@@ -32,9 +31,8 @@ def with_diffs(frame: DataFrame, n_lags: int = N_LAGS) -> DataFrame:
     That is ``lag_k - lag_(k+1)``, so one lag more than differences is needed and no second
     window.
     """
-    return frame.withColumns(
-        {f"diff_{k}": F.col(f"lag_{k}") - F.col(f"lag_{k + 1}") for k in range(1, n_lags + 1)}
-    )
+    diffs = [f"lag_{k} - lag_{k + 1} AS diff_{k}" for k in range(1, n_lags + 1)]
+    return frame.selectExpr("*", *diffs)
 
 
 def lag_features(grid: DataFrame, measure: str, n_lags: int = N_LAGS) -> DataFrame:
@@ -55,12 +53,8 @@ def feature_frame(grid: DataFrame, measure: str, n_lags: int = N_LAGS) -> DataFr
 
 def measure_frame(lagged: DataFrame, measure: str, n_lags: int = N_LAGS) -> DataFrame:
     """One measure of a frame with prefixed lags, as ``(series_id, month, y, lag_*)``."""
-    return lagged.select(
-        "series_id",
-        "month",
-        F.col(measure).alias("y"),
-        *[F.col(lag_name(k, measure)).alias(lag_name(k)) for k in range(1, n_lags + 2)],
-    )
+    lags = [f"{lag_name(k, measure)} AS {lag_name(k)}" for k in range(1, n_lags + 2)]
+    return lagged.selectExpr("series_id", "month", f"{measure} AS y", *lags)
 
 
 def next_month(
@@ -70,10 +64,7 @@ def next_month(
 
     A projection: once history has its lags, rolling forward needs no window and no shuffle.
     """
-    return frame.select(
-        "series_id",
-        (F.col("month") + 1).alias("month"),
-        F.col(value).alias("lag_1"),
-        *[F.col(f"lag_{k}").alias(f"lag_{k + 1}") for k in range(1, n_lags + 1)],
-        *keep,
+    shifted = [f"lag_{k} AS lag_{k + 1}" for k in range(1, n_lags + 1)]
+    return frame.selectExpr(
+        "series_id", "month + 1 AS month", f"{value} AS lag_1", *shifted, *keep
     )

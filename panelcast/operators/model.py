@@ -22,13 +22,14 @@ def pooled_gbt(
     max_bins: int = 510,
     feature_share: float = 0.64,
     row_share: float = 1.0,
+    checkpoint_every: int = 10,
     n_lags: int = N_LAGS,
     seed: int = 1,
 ) -> Pipeline:
     """One gradient-boosted regressor for all series, trained distributed.
 
-    Trees are checkpointed every ten rounds to the shared folder so that the lineage of the
-    residuals stays short however many trees are asked for.
+    Residuals are checkpointed to the shared folder every few rounds, so that their lineage
+    stays short however many trees are asked for.
     """
     booster = GBTRegressor(
         featuresCol="features",
@@ -40,7 +41,7 @@ def pooled_gbt(
         maxBins=max_bins,
         featureSubsetStrategy=str(feature_share),
         subsamplingRate=row_share,
-        checkpointInterval=10,
+        checkpointInterval=checkpoint_every,
         maxMemoryInMB=512,
         seed=seed,
     )

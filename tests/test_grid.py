@@ -106,3 +106,24 @@ def test_several_tasks_give_the_same_grid(parts, monkeypatch):
     many = grid.dense_grid(sums, catalog, calendar, 4)
     assert many.rdd.getNumPartitions() == 8
     assert sorted(many.collect()) == sorted(one)
+
+
+def test_hot_series_leaves_partial_sums_only(spark, lists):
+    """Half of all facts in one series: each task hands on one row per month of it."""
+    facts = spark.range(0, 40_000, 1, 4).selectExpr(
+        "format_string('2021-%02d', 1 + id % 12) AS periode",
+        "IF(id % 2 = 0, 'A', IF(id % 3 = 0, 'B', 'C')) AS bu",
+        "'c' AS ctt", "'o' AS ope", "'p' AS pthrough",
+        "CAST(id AS decimal(18,4)) AS ca", "CAST(1 AS decimal(18,4)) AS mg",
+    )
+    sums = grid.monthly_sums(facts)
+    calendar = month_calendar(distinct_periods(sums))
+    dense = grid.dense_grid(sums, Catalog.of(lists(**LISTS)), calendar, 12)
+    by_series = {r[0]: r[1:] for r in dense.groupBy("series_id").sum("ca", "mg").collect()}
+    expected = {0: 0, 1: 0, 2: 0}
+    for i in range(40_000):
+        expected[0 if i % 2 == 0 else 1 if i % 3 == 0 else 2] += i
+    assert {k: v[0] for k, v in by_series.items()} == expected
+    assert sum(v[1] for v in by_series.values()) == 40_000
+    shuffled = sums._jdf.queryExecution().executedPlan().toString().split("Exchange")[1]
+    assert "partial_sum" in shuffled
