@@ -14,7 +14,7 @@ from panelcast.schema import KEYS, MEASURES
 
 
 CELLS_PER_TASK = 250_000
-MOST_TASKS = 100_000
+MOST_TASKS = 50_000
 
 
 def grid_tasks(n_cells: int) -> int:

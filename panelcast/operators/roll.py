@@ -72,7 +72,8 @@ def _fitted_once(
     lagged: DataFrame, estimator: Estimator, last_month: int, horizon: int, n_lags: int
 ) -> DataFrame:
     model = fit_pooled_model(lagged.filter(F.col("month") <= last_month), estimator, n_lags)
-    scoring = _opening(lagged, last_month, n_lags).withColumn("path", F.array().cast("array<double>"))
+    no_steps = F.array().cast("array<double>")
+    scoring = _opening(lagged, last_month, n_lags).withColumn("path", no_steps)
     for _ in range(horizon):
         scored = score_month(scoring, model, n_lags)
         path = F.array_append("path", F.col("y_pred"))

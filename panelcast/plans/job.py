@@ -26,11 +26,11 @@ def run_job(
     replace_from: str = "current",
     retrain: str = "each_step",
     estimator: Estimator | None = None,
-) -> Horizon:
+) -> Horizon | None:
     """Keep history, audit, published table and export under ``store``.
 
     By default every dropped file is the whole history and the newest one counts; otherwise
-    files add to one another.
+    files add to one another. As long as no file was ever dropped nothing is done.
     """
     store = store.rstrip("/")
     history_path, audit_path = f"{store}/history", f"{store}/audit"
@@ -45,6 +45,8 @@ def run_job(
         max_files=1 if whole_history_per_file else 1000,
     )
     history = read_ingested(spark, history_path, audit_path if whole_history_per_file else None)
+    if history is None:
+        return None
     scratch = Scratch(spark)
     try:
         dimensions = None

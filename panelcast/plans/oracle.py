@@ -25,7 +25,8 @@ _SUMS = """sums AS (
          coalesce(CAST(sum(ca) AS DOUBLE), 0) AS ca, coalesce(CAST(sum(mg) AS DOUBLE), 0) AS mg
   FROM dated GROUP BY bu, ctt, ope, pthrough, period)"""
 _DIMS = "dims AS (\n" + "\n  UNION ALL\n".join(
-    f"""  SELECT '{k}' AS dim, {k} AS value, CAST(row_number() OVER (ORDER BY {k}) - 1 AS INTEGER) AS ord
+    f"""  SELECT '{k}' AS dim, {k} AS value,
+         CAST(row_number() OVER (ORDER BY {k}) - 1 AS INTEGER) AS ord
   FROM (SELECT DISTINCT {k} FROM history)"""
     for k in ("bu", "ctt", "ope", "pthrough")
 ) + ")"
@@ -131,7 +132,9 @@ def statements() -> dict[str, str]:
             f"SELECT periode AS period_label, {_K}, CAST(ca AS DOUBLE) AS ca_mois, "
             "CAST(mg AS DOUBLE) AS mg_mois FROM history",
         ),
-        "drop_columns": _with(history, f"SELECT periode, {_K}, CAST(ca AS DOUBLE) AS ca FROM history"),
+        "drop_columns": _with(
+            history, f"SELECT periode, {_K}, CAST(ca AS DOUBLE) AS ca FROM history"
+        ),
         "parse_period": _with(dated, "SELECT DISTINCT periode, period FROM dated"),
         "month_bounds": _with(
             dated,
@@ -160,7 +163,9 @@ def statements() -> dict[str, str]:
             "SELECT b.value AS bu, c.value AS ctt FROM (SELECT * FROM dims WHERE dim = 'bu') b "
             "CROSS JOIN (SELECT * FROM dims WHERE dim = 'ctt') c",
         ),
-        "series_catalog": _with([_HISTORY, _DIMS, _CATALOG], f"SELECT series_id, {_K} FROM catalog"),
+        "series_catalog": _with(
+            [_HISTORY, _DIMS, _CATALOG], f"SELECT series_id, {_K} FROM catalog"
+        ),
         "filter_series": _with(
             [_HISTORY, _DIMS], f"SELECT periode, {_FACTS} FROM history WHERE {_FIRST}"
         ),
@@ -191,7 +196,9 @@ def statements() -> dict[str, str]:
         ),
         "lag_features": _with(lagged, f"SELECT series_id, month, {_LAGS} FROM lagged"),
         "diff_features": _with(lagged, f"SELECT series_id, month, {_DIFFS} FROM lagged"),
-        "feature_frame": _with(lagged, f"SELECT series_id, month, ca, {_LAGS}, {_DIFFS} FROM lagged"),
+        "feature_frame": _with(
+            lagged, f"SELECT series_id, month, ca, {_LAGS}, {_DIFFS} FROM lagged"
+        ),
         "drop_incomplete_months": _with(
             _BASE, f"SELECT series_id, month, ca, mg FROM cells WHERE month < {CURRENT}"
         ),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.publish import publish_replace_slice, with_file_labels
 from panelcast.schema import PUBLISHED
 from panelcast.sources.scratch import Scratch
-from panelcast.sources.tables import read_published
+from panelcast.sources.tables import read_if_present, read_published
 
 # Fixed value: a worksheet ends at row 1,048,576, the header included.
 ROWS_PER_FILE = 1_048_575
@@ -17,13 +16,8 @@ ROWS_PER_FILE = 1_048_575
 
 def _last_published(frame: DataFrame, path: str) -> int | None:
     """Highest month of the table, or None if there is no table yet."""
-    try:
-        published = read_published(frame.sparkSession, path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return published.agg(F.max("month")).first()[0]
+    published = read_if_present(frame.sparkSession, PUBLISHED, path)
+    return None if published is None else published.agg(F.max("month")).first()[0]
 
 
 def _write(frame: DataFrame, path: str, overwrite: str) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.operators.catalog import dimension_members
 from panelcast.schema import DIMENSION_LISTS, HISTORY, HISTORY_LABELS, PUBLISHED
@@ -15,7 +17,8 @@ from panelcast.sources.scratch import Scratch
 def _scan(spark: SparkSession, path: str | Sequence[str], fmt: str) -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # Files read together must agree on their header; a ragged row fails the query.
+        reader = reader.options(header=True, enforceSchema=False, mode="FAILFAST")
     return reader.load(path if isinstance(path, str) else list(path))
 
 
@@ -51,7 +54,8 @@ def read_dimensions(
         members = _scan(spark, f"{path.rstrip('/')}/{sheet}", fmt)
         value = F.col(f"`{members.columns[0]}`").cast("string").alias("value")
         if "ord" in members.columns:
-            numbered.append(members.select(F.lit(dim).alias("dim"), value, F.col("ord").cast("int")))
+            place = F.col("ord").cast("int")
+            numbered.append(members.select(F.lit(dim).alias("dim"), value, place))
         else:
             plain.append(members.select(F.lit(dim).alias("dim"), value))
     if plain:
@@ -65,5 +69,15 @@ def read_dimensions(
     return lists
 
 
+def read_if_present(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing was stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PUBLISHED).parquet(path).select(*PUBLISHED.names)

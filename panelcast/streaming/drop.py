@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.schema import AUDIT, HISTORY, HISTORY_LABELS
-from panelcast.sources.tables import rename_columns
-
+from panelcast.schema import AUDIT, HISTORY
+from panelcast.sources.tables import read_history, read_if_present
 
-def file_schema() -> T.StructType:
-    """Schema of a dropped file, under its original labels."""
-    types = {f.name: f.dataType for f in HISTORY.fields}
-    return T.StructType(
-        [T.StructField(label, types[name]) for label, name in HISTORY_LABELS.items()]
-    )
+# Fixed value: the columns Spark gives to files read as a whole.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _append_once(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -29,6 +26,11 @@ def _append_once(batch: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
+def _literal(path: str) -> str:
+    """A path without wildcards, whatever its file is called."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def ingest_drop(
     spark: SparkSession,
     drop_dir: str,
@@ -40,27 +42,32 @@ def ingest_drop(
 ) -> None:
     """Take up everything new in ``drop_dir`` and return; without new files nothing happens.
 
-    Files are taken up oldest first, at most ``max_files`` to a batch. They stay in place. A run that fails is repeated from its checkpoint, and both
-    tables are overwritten per batch, so no fact and no audit row is lost or doubled.
+    The stream is one of files: their contents are not read by it, only their names, at most
+    ``max_files`` to a batch and oldest first. Each batch is then read by column name like any
+    history, so that columns may come in any order and others beside them. The files stay in
+    place. A run that fails is repeated from its checkpoint, and both tables are overwritten per
+    batch, so no fact and no audit row is lost or doubled.
     """
-    reader = spark.readStream.schema(file_schema()).option("maxFilesPerTrigger", max_files)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
-        reader = reader.option("mode", "FAILFAST")
-    dropped = reader.format(fmt).load(drop_dir)
-    tracked = dropped.select("*", F.col("_metadata").alias("file"))
+    files = (
+        spark.readStream.schema(FILES)
+        .option("maxFilesPerTrigger", max_files)
+        .format("binaryFile")
+        .load(drop_dir)
+        .select(
+            F.col("path").alias("file_path"),
+            F.col("length").alias("file_size"),
+            F.col("modificationTime").alias("file_mtime"),
+        )
+    )
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        files = batch.select(
-            F.col("file.file_path").alias("file_path"),
-            F.col("file.file_size").alias("file_size"),
-            F.col("file.file_modification_time").alias("file_mtime"),
-        ).distinct()
-        _append_once(rename_columns(batch, HISTORY_LABELS), batch_id, history_path)
-        _append_once(files, batch_id, audit_path)
+        paths = [_literal(row["file_path"]) for row in batch.select("file_path").collect()]
+        if paths:
+            _append_once(read_history(batch.sparkSession, paths, fmt), batch_id, history_path)
+            _append_once(batch, batch_id, audit_path)
 
     query = (
-        tracked.writeStream.foreachBatch(take_up)
+        files.writeStream.foreachBatch(take_up)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -70,13 +77,16 @@ def ingest_drop(
 
 def read_ingested(
     spark: SparkSession, history_path: str, audit_path: str | None = None
-) -> DataFrame:
+) -> DataFrame | None:
     """All facts taken up so far; with the audit table, only those of its newest batch.
 
     The latter suits files that each hold the whole history, taken up with ``max_files=1``.
+    Before the first file there is nothing to read: the result is None.
     """
     stored = T.StructType([*HISTORY.fields, T.StructField("batch_id", T.LongType())])
-    history = spark.read.schema(stored).parquet(history_path)
+    history = read_if_present(spark, stored, history_path)
+    if history is None:
+        return None
     if audit_path is not None:
         audit = spark.read.schema(AUDIT).parquet(audit_path)
         newest = audit.agg(F.max("batch_id")).first()[0]

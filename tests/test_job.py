@@ -4,6 +4,7 @@ import csv
 import glob
 
 from panelcast.__main__ import main
+from panelcast.plans.job import run_job
 from panelcast.schema import HISTORY_LABELS, PUBLISHED_LABELS
 from panelcast.sources.tables import read_published
 from panelcast.streaming.drop import ingest_drop, read_audit, read_ingested
@@ -58,6 +59,12 @@ def test_two_monthly_runs(spark, tmp_path):
     assert len(exported) == 1 + 2 * 22
 
 
+def test_nothing_dropped_yet(spark, tmp_path):
+    (tmp_path / "drop").mkdir()
+    assert run_job(spark, str(tmp_path / "drop"), str(tmp_path / "store")) is None
+    assert not (tmp_path / "store" / "published").exists()
+
+
 def test_newest_file_or_all(spark, tmp_path):
     put(tmp_path / "drop", "a.csv", HEADER, "2021-01,A,c,o,p,1,1")
     paths = [str(tmp_path / n) for n in ("history", "audit", "progress")]

@@ -20,7 +20,13 @@ ROWS = {
     "end_to_end": 12750,
     "ingest_audit": None,
 }
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR"}
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "date": "DATE",
+    "string": "VARCHAR",
+}
 
 
 @pytest.fixture(scope="module")

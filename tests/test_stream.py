@@ -54,6 +54,33 @@ def test_backlog_in_several_batches(spark, place):
     assert {r.batch_id for r in read_audit(spark, paths[1]).collect()} == {0, 1, 2}
 
 
+def test_any_name_any_column_order(spark, place):
+    drop, paths = place
+    header = "note,mg mois,ca mois,pthrough ?,opé,ctt,bu,période"
+    put(drop, "ventes [1] {é}*.csv", "x,0.5,1.5,p,o,c,A,2021-01", header=header)
+    put(drop, "empty.csv")
+    ingest_drop(spark, str(drop), *paths, fmt="csv", max_files=1)
+    (row,) = read_ingested(spark, paths[0]).collect()
+    assert (row.periode, row.bu, float(row.ca), float(row.mg)) == ("2021-01", "A", 1.5, 0.5)
+    assert read_audit(spark, paths[1]).count() == 2
+
+
+def test_files_of_a_batch_must_agree(spark, place):
+    drop, paths = place
+    put(drop, "a.csv", "2021-01,A,c,o,p,1,9")
+    header = "mg mois,période,bu,ctt,opé,pthrough ?,ca mois"
+    put(drop, "b.csv", "9,2021-01,A,c,o,p,1", header=header)
+    with pytest.raises(Exception, match="header|schema"):
+        ingest_drop(spark, str(drop), *paths, fmt="csv")
+
+
+def test_missing_column_fails(spark, place):
+    drop, paths = place
+    put(drop, "a.csv", "2021-01,A,c,o,p,1", header=HEADER.rsplit(",", 1)[0])
+    with pytest.raises(Exception, match="mg mois"):
+        ingest_drop(spark, str(drop), *paths, fmt="csv")
+
+
 def test_malformed_file_fails_and_can_be_repeated(spark, place):
     drop, paths = place
     put(drop, "a.csv", "2021-01,A,c,o,p,many,1")
@@ -65,7 +92,8 @@ def test_malformed_file_fails_and_can_be_repeated(spark, place):
 
 
 def test_history_is_projected_by_name(spark, tmp_path):
-    put(tmp_path, "h.csv", "x,2021-1,9,A,c,o,p,8", header="id,période,mg mois,bu,ctt,opé,pthrough ?,ca mois")
+    header = "id,période,mg mois,bu,ctt,opé,pthrough ?,ca mois"
+    put(tmp_path, "h.csv", "x,2021-1,9,A,c,o,p,8", header=header)
     row = read_history(spark, str(tmp_path / "h.csv"), "csv").first()
     assert (row.periode, row.bu, float(row.ca), float(row.mg)) == ("2021-1", "A", 8.0, 9.0)
     put(tmp_path, "short.csv", "2021-1,A", header="période,bu")
@@ -79,9 +107,8 @@ def test_dimension_lists(spark, tmp_path, scratch):
         ("ctt", "ctt", ["c"]),
         ("typeOpe", "ope", ["o"]),
     ]:
-        spark.createDataFrame([(v,) for v in values], f"`{label}` string").coalesce(1).write.parquet(
-            str(tmp_path / sheet)
-        )
+        members = spark.createDataFrame([(v,) for v in values], f"`{label}` string")
+        members.coalesce(1).write.parquet(str(tmp_path / sheet))
     spark.createDataFrame([("N", 1), ("O", 0)], "`pthrough ?` string, ord int").write.parquet(
         str(tmp_path / "SousTraitance")
     )
