@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,12 +15,15 @@ from panelcast.schema import KEYS, MEASURES
 
 
 CELLS_PER_TASK = 250_000
+FEWEST_CELLS = 20_000
 MOST_TASKS = 50_000
 
 
-def grid_tasks(n_cells: int) -> int:
-    """Partitions for a grid: about 50 MB of lagged cells each."""
-    return max(1, min(MOST_TASKS, -(-n_cells // CELLS_PER_TASK)))
+def grid_tasks(n_cells: int, cores: int) -> int:
+    """Partitions for a grid: about 50 MB of lagged cells each, less while cores are idle."""
+    by_size = math.ceil(n_cells / CELLS_PER_TASK)
+    by_cores = min(cores, math.ceil(n_cells / FEWEST_CELLS))
+    return max(1, min(MOST_TASKS, max(by_size, by_cores)))
 
 
 def monthly_sums(
@@ -64,9 +68,10 @@ def sparse_grid(
     by_month = Window.partitionBy("series_id").orderBy("month")
     upto = F.coalesce(F.lead("month").over(by_month), F.lit(n_months)) - 1
     own = F.col("slot") == F.col("month")
+    cores = cells.sparkSession.sparkContext.defaultParallelism
     return (
         opening.unionByName(cells, allowMissingColumns=True)
-        .repartition(grid_tasks(catalog.n_series * n_months), "series_id")
+        .repartition(grid_tasks(catalog.n_series * n_months, cores), "series_id")
         .withColumn("upto", upto)
         .withColumn("slot", F.explode(F.sequence("month", "upto")))
         .filter(F.col("slot") >= 0)

@@ -93,10 +93,12 @@ def test_sort(parts):
 
 
 def test_tasks_follow_the_grid():
-    assert grid.grid_tasks(1) == 1
-    assert grid.grid_tasks(grid.CELLS_PER_TASK + 1) == 2
-    assert grid.grid_tasks(10**10) == 40_000
-    assert grid.grid_tasks(10**15) == grid.MOST_TASKS
+    assert grid.grid_tasks(1, 8) == 1
+    assert grid.grid_tasks(59_250, 8) == 3
+    assert grid.grid_tasks(10**6, 2) == 4
+    assert grid.grid_tasks(10**6, 8) == 8
+    assert grid.grid_tasks(10**10, 8000) == 40_000
+    assert grid.grid_tasks(10**15, 8000) == grid.MOST_TASKS
 
 
 def test_several_tasks_give_the_same_grid(parts, monkeypatch):
