@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query is run from the raw tables to its last row, after one warm-up on the smallest data.
+Every query is run from the raw tables to its last row, after a warm-up on the smallest data.
 ``BENCH_PARITY=1`` adds the full procedure at the documented size of the original job: 750
 series by 80 months, both measures, six refits of 500 trees each (several minutes).
 """
@@ -58,7 +58,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registered()
     warm_up = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    for name in ("join_measures", "end_to_end"):
+    for name in HEADLINE:
         drain(queries[name](spark, warm_up if os.path.isdir(warm_up) else sf_dir))
     jobs = {name: queries[name] for name in HEADLINE}
     if os.environ.get("BENCH_PARITY"):

@@ -29,7 +29,7 @@ from panelcast.schema import (
 from panelcast.sources.bindings import bound_history
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import export_csv, publish_partitions
-from panelcast.sources.tables import read_published, rename_columns
+from panelcast.sources.tables import CSV_READ, read_published, rename_columns
 from panelcast.streaming.drop import ingest_drop, read_audit, read_ingested
 
 AS_OF = dt.date(2001, 8, 15)
@@ -266,7 +266,7 @@ def export_labelled(b: Bound) -> DataFrame:
     labelled = T.StructType(
         [T.StructField(label, types[name]) for name, label in PUBLISHED_LABELS.items()]
     )
-    return b.spark.read.schema(labelled).option("header", True).csv(path)
+    return b.spark.read.schema(labelled).options(**CSV_READ).csv(path)
 
 
 def end_to_end(b: Bound) -> DataFrame:

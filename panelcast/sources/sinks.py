@@ -63,7 +63,7 @@ def export_csv(published: DataFrame, path: str) -> None:
     else:
         arranged = labelled.repartitionByRange(*order).sortWithinPartitions(*order)
     (
-        arranged.write.option("header", True)
+        arranged.write.options(header=True, escape='"')
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .mode("overwrite")
         .csv(path)

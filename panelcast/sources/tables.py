@@ -14,11 +14,16 @@ from panelcast.schema import DIMENSION_LISTS, HISTORY, HISTORY_LABELS, PUBLISHED
 from panelcast.sources.scratch import Scratch
 
 
-def _scan(spark: SparkSession, path: str | Sequence[str], fmt: str) -> DataFrame:
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        # Files read together must agree on their header; a ragged row fails the query.
-        reader = reader.options(header=True, enforceSchema=False, mode="FAILFAST")
+# Quotes are doubled inside quotes, as spreadsheets do it; files read together must agree on
+# their header; a ragged row fails the query.
+CSV_READ = {"header": True, "escape": '"', "enforceSchema": False, "mode": "FAILFAST"}
+
+
+def _scan(
+    spark: SparkSession, path: str | Sequence[str], fmt: str, options: dict | None = None
+) -> DataFrame:
+    defaults = CSV_READ if fmt == "csv" else {}
+    reader = spark.read.format(fmt).options(**{**defaults, **(options or {})})
     return reader.load(path if isinstance(path, str) else list(path))
 
 
@@ -36,9 +41,14 @@ def normalise_history(raw: DataFrame) -> DataFrame:
     return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields])
 
 
-def read_history(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Fact scan; accepts the labels of the exchanged file or the internal names."""
-    return normalise_history(_scan(spark, path, fmt))
+def read_history(
+    spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", **options
+) -> DataFrame:
+    """Fact scan; accepts the labels of the exchanged file or the internal names.
+
+    ``options`` go to the reader, for instance ``sep=";"``.
+    """
+    return normalise_history(_scan(spark, path, fmt, options))
 
 
 def read_dimensions(

@@ -5,8 +5,9 @@ import pytest
 
 from panelcast.functions.ordinals import number_members
 from panelcast.functions.sizes import broadcast_if_small
+from panelcast.operators.calendar import distinct_periods, month_calendar
 from panelcast.operators.catalog import Catalog, cross_join, observed_members
-from panelcast.operators.grid import monthly_sums
+from panelcast.operators.grid import dense_grid, monthly_sums
 
 VALUES = {"bu": ["x", "y", "z"], "ctt": ["k", "l"], "ope": ["1", "2"], "pthrough": ["O", "N"]}
 
@@ -65,6 +66,14 @@ def test_orphans_and_nulls_leave_the_sums(facts, lists):
     assert [r.ca for r in catalog.encode(monthly_sums(history)).collect()] == [1.0]
 
 
+def test_blank_label_is_a_series_without_facts(facts, lists):
+    catalog = Catalog.of(lists(bu=["A", None], ctt=["c"], ope=["o"], pthrough=["p"]))
+    sums = monthly_sums(facts([("2021-01", "A", "1"), ("2021-01", None, "3")]))
+    calendar = month_calendar(distinct_periods(sums))
+    labelled = catalog.decode(dense_grid(sums, catalog, calendar, 1))
+    assert {r.bu: r.ca for r in labelled.collect()} == {"A": 1.0, None: 0.0}
+
+
 def test_observed_lists_are_sorted(facts, scratch):
     history = facts([("2021-01", b, "1") for b in ["b", "a", "é", "B", None, "a"]])
     rows = observed_members(history, scratch).filter("dim = 'bu'").orderBy("ord").collect()

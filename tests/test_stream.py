@@ -101,6 +101,13 @@ def test_history_is_projected_by_name(spark, tmp_path):
         read_history(spark, str(tmp_path / "short.csv"), "csv")
 
 
+def test_reader_options(spark, tmp_path):
+    lines = ["\ufeff" + HEADER.replace(",", ";"), '2021-1;"A;""1""";c;o;p;8;9']
+    (tmp_path / "h.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    row = read_history(spark, str(tmp_path / "h.csv"), "csv", sep=";").first()
+    assert (row.periode, row.bu, float(row.mg)) == ("2021-1", 'A;"1"', 9.0)
+
+
 def test_dimension_lists(spark, tmp_path, scratch):
     for sheet, label, values in [
         ("Departements", "bu", ["Z", "A"]),
