@@ -61,6 +61,7 @@ def ingest_drop(
     )
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
+        # At most max_files names.
         paths = [_literal(row["file_path"]) for row in batch.select("file_path").collect()]
         if paths:
             _append_once(read_history(batch.sparkSession, paths, fmt), batch_id, history_path)
