@@ -15,7 +15,7 @@ from panelcast.schema import KEYS, MEASURES
 
 
 CELLS_PER_TASK = 250_000
-FEWEST_CELLS = 20_000
+FEWEST_CELLS = 60_000
 MOST_TASKS = 50_000
 
 

@@ -94,7 +94,8 @@ def test_sort(parts):
 
 def test_tasks_follow_the_grid():
     assert grid.grid_tasks(1, 8) == 1
-    assert grid.grid_tasks(59_250, 8) == 3
+    assert grid.grid_tasks(59_250, 8) == 1
+    assert grid.grid_tasks(150_000, 8) == 3
     assert grid.grid_tasks(10**6, 2) == 4
     assert grid.grid_tasks(10**6, 8) == 8
     assert grid.grid_tasks(10**10, 8000) == 40_000
