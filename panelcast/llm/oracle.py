@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelcast.llm.quality import BOILERPLATE, SENTENCE_MARKS, SYMBOLS
+from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,7 +51,75 @@ SELECT *, NOT base_failed AND (word_chars - kept_chars) * 100 <= word_chars * 30
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rule_choice(field: str) -> str:
+    longest_first = sorted(RULES, key=lambda r: -len(r.name))
+    cases = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}'))"
+        f" AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'"
+        for r in longest_first
+    )
+    return f"CASE {cases} END"
+
+
+def _hits(terms: list[str]) -> str:
+    return " + ".join(
+        f"CAST(regexp_matches(lowered, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms
+    )
+
+
+OP6 = f"""
+WITH parts AS (SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')
+        AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(translate(url, '{UPPER}', '{LOWER}'), '') AS lowered FROM pages),
+counted AS (SELECT *, {_hits(STRICT)} AS n_strict, {_hits(SOFT)} AS n_soft FROM parts)
+SELECT page_id, host, path, {_rule_choice("name")} AS rule, n_strict, n_soft,
+    coalesce({_rule_choice("verdict")},
+             CASE WHEN n_strict >= 1 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM counted
+"""
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)
+          AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
+    FROM d GROUP BY source),
+limits AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS most,
+    CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM s),
+prefixes AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+    - coalesce(sum(most) OVER (ORDER BY ratio, source ASC NULLS LAST
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST
+                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM limits),
+shares AS (SELECT *, max(CASE WHEN share <= ratio THEN share END) OVER () AS level FROM prefixes),
+aims AS (SELECT source, source_size, least(most, level * weight) AS target FROM shares),
+plan AS (SELECT *,
+    CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    CASE WHEN source_size > 0
+         THEN target / source_size - floor(target / source_size) ELSE 0.0 END AS part FROM aims),
+ranked AS (SELECT d.*, p.source_size, p.target, p.whole, p.part,
+    p.target - p.whole * p.source_size AS missing,
+    CASE WHEN p.part > 0 THEN (u / (1 - u)) / (p.part / (1 - p.part)) END AS odds
+    FROM d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto,
+    sum(size) OVER (PARTITION BY source, odds, doc_id) AS words FROM ranked),
+chosen AS (SELECT *,
+    whole + CASE WHEN part > 0 AND size > 0 AND upto - words / 2.0 <= missing THEN 1 ELSE 0 END
+        AS copies FROM summed)
+SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM chosen
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_quality_rules": OP3,
+        "op6_url_filter": OP6,
+        "op7_source_mix": OP7,
     }
