@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelcast.llm.mixing import mix
 from panelcast.llm.quality import judge
+from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
 from panelcast.llm.url_filter import judge_urls
 from panelcast.sources.scratch import Scratch
 
@@ -23,6 +25,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", *[f"judged.{f}" for f in fields])
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return groups.select(
+        "doc_id", fingerprint_digits(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).drop("url")
@@ -35,6 +44,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op4_simhash_dedup": op4_simhash_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_source_mix": op7_source_mix,
     }
