@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.bpe import ByteBpe, n_tokens
 from panelcast.llm.mixing import mix
 from panelcast.llm.quality import judge
 from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
@@ -41,10 +42,30 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = ByteBpe(
+        spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    docs = _table(spark, sf_dir, "documents")
+    return (
+        docs.select("doc_id", bpe.encode("text").alias("ids"))
+        .withColumn("decoded", bpe.decode("ids"))
+        .select(
+            "doc_id",
+            n_tokens("ids").alias("n_tokens"),
+            F.sha2("ids", 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_source_mix": op7_source_mix,
+        "op10_byte_bpe": op10_byte_bpe,
     }
