@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import ByteBpe, n_tokens
+from panelcast.llm.fingerprint import count_near, edited_with_next, likeness
 from panelcast.llm.mixing import mix
 from panelcast.llm.quality import judge
 from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
@@ -42,6 +43,22 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = _table(spark, sf_dir, "documents")
+    edited = scratch.save(edited_with_next(docs, scratch), "fingerprints")
+    return count_near(edited, F.col("doc_id") % 100 == 0).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint_digits(F.col("fp")).alias("fingerprint"),
+        fingerprint_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,5 +84,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_dedup": op4_simhash_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_source_mix": op7_source_mix,
+        "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,
     }
