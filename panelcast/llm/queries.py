@@ -13,6 +13,7 @@ from panelcast.llm.mixing import mix
 from panelcast.llm.quality import judge
 from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
 from panelcast.llm.url_filter import judge_urls
+from panelcast.llm.warc import read_archives, with_revisits, write_archives
 from panelcast.sources.scratch import Scratch
 
 
@@ -34,6 +35,17 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    rows = with_revisits(_table(spark, sf_dir, "pages"))
+    manifest = scratch.save(write_archives(rows, scratch.folder("archives")), "manifest")
+    return (
+        read_archives(manifest, with_payload=False)
+        .filter("kind = 'record'")
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).drop("url")
@@ -82,6 +94,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
         "op7_source_mix": op7_source_mix,
         "op9_fingerprints": op9_fingerprints,
