@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import ByteBpe, n_tokens
 from panelcast.llm.fingerprint import count_near, edited_with_next, likeness
+from panelcast.llm.html import extract
 from panelcast.llm.mixing import mix
 from panelcast.llm.quality import judge
 from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
@@ -21,6 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields += ["base_failed", "kept", "n_failed_lines", "kept_chars"]
@@ -92,6 +100,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op3_quality_rules": op3_quality_rules,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_warc": op5_warc,
