@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import ByteBpe, n_tokens
 from panelcast.llm.fingerprint import count_near, edited_with_next, likeness
 from panelcast.llm.html import extract
 from panelcast.llm.mixing import mix
+from panelcast.llm.pii import KINDS, as_text, find_spans
 from panelcast.llm.quality import judge
 from panelcast.llm.simhash_dedup import fingerprint_digits, near_groups
 from panelcast.llm.url_filter import judge_urls
@@ -29,6 +30,23 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The texts themselves are not stored again.
+    spanned, base, added = find_spans(docs, Scratch(spark), keep_text=False)
+
+    def count_of(kind: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return spanned.select(
+        "doc_id",
+        *counts,
+        F.sha2(as_text(F.col(base)), 256).alias("base_sha256"),
+        as_text(F.concat(base, added)).alias("spans"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields += ["base_failed", "kept", "n_failed_lines", "kept_chars"]
@@ -101,6 +119,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_warc": op5_warc,
