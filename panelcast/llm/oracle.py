@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelcast.llm.licenses import TEMPLATES, TERM
 from panelcast.llm.quality import BOILERPLATE, SENTENCE_MARKS, SYMBOLS
 from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
@@ -117,9 +118,60 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 """
 
 
+GIVEN = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+LINE_MARKER = "(?i)licen[cs]e|copyright|copyleft|redistribut|permission is hereby|public domain|spdx"
+
+OP8 = f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, length(text) <= 300 AS is_file,
+    concat_ws('/', source, lang, CASE WHEN length(text) <= 300 AND doc_id % 2 = 0 THEN NULL
+        ELSE CAST(doc_id // 64 AS VARCHAR) END) AS directory,
+    CASE WHEN length(text) <= 300 THEN 'LICENSE.' ELSE 'text.' END || doc_id AS name
+    FROM documents),
+h AS (SELECT DISTINCT doc_id, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f
+    UNION ALL SELECT doc_id, text FROM f WHERE is_file)
+    WHERE regexp_matches(line, '{LINE_MARKER}')),
+u AS (SELECT line, count(*) AS copies FROM h GROUP BY line),
+t(template, license, line) AS (VALUES {GIVEN}),
+ut AS (SELECT line, copies, term, count(*) AS tf FROM (SELECT line, copies,
+    unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM u)
+    GROUP BY line, copies, term),
+tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template,
+    unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM t)
+    GROUP BY template, term),
+df AS (SELECT term, sum(df) AS df FROM (SELECT term, sum(copies) AS df FROM ut GROUP BY term
+    UNION ALL SELECT term, count(*) AS df FROM tt GROUP BY term) GROUP BY term),
+idf AS (SELECT term, ln(((SELECT coalesce(sum(copies), 0) FROM u) + {len(TEMPLATES)} + 1)
+    / CAST(df + 1 AS DOUBLE)) + 1 AS idf FROM df),
+uw AS (SELECT line, term, tf * idf AS w FROM ut JOIN idf USING (term)),
+tw AS (SELECT template, term, tf * idf AS tw FROM tt JOIN idf USING (term)),
+un AS (SELECT line, sqrt(sum(w * w)) AS norm FROM uw GROUP BY line),
+tn AS (SELECT template, sqrt(sum(tw * tw)) AS t_norm FROM tw GROUP BY template),
+s AS (SELECT line, template, round(sum(w * tw) / (any_value(norm) * any_value(t_norm)), 6) AS score
+    FROM uw JOIN tw USING (term) JOIN un USING (line) JOIN tn USING (template)
+    GROUP BY line, template),
+best AS (SELECT doc_id, license, score, template, row_number() OVER
+    (PARTITION BY doc_id ORDER BY score DESC, template) AS place
+    FROM h JOIN s USING (line) JOIN t USING (template) WHERE score >= 0.5),
+j AS (SELECT f.doc_id, f.directory || '/' || f.name AS path, f.directory, f.is_file, b.license AS own_license, b.score, b.template
+    FROM f LEFT JOIN best AS b ON f.doc_id = b.doc_id AND b.place = 1),
+stated AS (SELECT directory, own_license, row_number() OVER
+    (PARTITION BY directory ORDER BY score DESC, template) AS place FROM j
+    WHERE is_file AND own_license IS NOT NULL)
+SELECT doc_id, path, j.own_license, score,
+    coalesce(j.own_license, s1.own_license, s2.own_license) AS license,
+    CASE WHEN j.own_license IS NOT NULL THEN NULL WHEN s1.own_license IS NOT NULL THEN s1.directory
+         ELSE s2.directory END AS found_in
+FROM j LEFT JOIN stated AS s1 ON j.directory = s1.directory AND s1.place = 1
+LEFT JOIN stated AS s2 ON regexp_extract(j.directory, '(?s)^(.*)/[^/]*$', 1) = s2.directory
+    AND s2.place = 1
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_quality_rules": OP3,
         "op6_url_filter": OP6,
+        "op8_license_scan": OP8,
         "op7_source_mix": OP7,
     }

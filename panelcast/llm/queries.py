@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.bpe import ByteBpe, n_tokens
 from panelcast.llm.fingerprint import count_near, edited_with_next, likeness
 from panelcast.llm.html import extract
+from panelcast.llm.licenses import scan_licenses
 from panelcast.llm.mixing import mix
 from panelcast.llm.pii import KINDS, as_text, find_spans
 from panelcast.llm.quality import judge
@@ -81,6 +82,18 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/block/name``. Short ones are licence files; of these, those
+    with an even id lie one directory higher."""
+    docs = _table(spark, sf_dir, "documents")
+    short, even = F.length("text") <= 300, F.col("doc_id") % 2 == 0
+    name = F.concat(F.when(short, F.lit("LICENSE.")).otherwise(F.lit("text.")), F.col("doc_id"))
+    block = F.when(~(short & even), F.floor(F.col("doc_id") / 64).cast("string"))
+    path = F.concat_ws("/", "source", "lang", block, name)
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return scan_licenses(files, Scratch(spark)).withColumnRenamed("file_id", "doc_id")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = _table(spark, sf_dir, "documents")
@@ -125,6 +138,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
         "op7_source_mix": op7_source_mix,
+        "op8_license_scan": op8_license_scan,
         "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,
     }
