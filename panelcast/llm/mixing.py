@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.text import n_words, whole
+from panelcast.llm.text import fresh_name, n_words, whole
 from panelcast.sources.scratch import Scratch
 
 WEIGHTS = (1, 2, 3)
@@ -67,8 +67,8 @@ def targets(
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
-    """One narrow row per document; the text is read here and nowhere else."""
+def _sized(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
+    """One narrow row per document; the text is read here."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
@@ -77,113 +77,107 @@ def sized(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> Da
     )
 
 
-def mix(
-    docs: DataFrame,
-    scratch: Scratch,
-    weights: Sequence[int] = WEIGHTS,
-    most_copies: int = MOST_COPIES,
-    seed: str = "mix",
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
+def _slice(u: Column) -> Column:
+    return F.floor(u * SLICES).cast("int")
+
+
+def _odds(u: Column, part: Column) -> Column:
+    return F.try_divide(u / (1 - u), part / (1 - part))
+
+
+def cuts(
+    rows: DataFrame, scratch: Scratch, weights: Sequence[int], most_copies: int
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+    """One row per source: ``cut_source, source_size, target, whole, part, last_slice, end``.
 
-    ``copies`` is how often the mix takes the document, ``taken`` its words times that. A null or
-    empty text has size 0 and is never taken in part; a null source is a source of its own. Rows
-    that repeat a ``doc_id`` share one random number and so one fate; documents of equal rank are
-    taken in order of their ids. An empty table gives no rows.
+    ``whole`` copies of each document are certain. Of the ranked documents all of the slices before
+    ``last_slice`` are taken once more, and of that slice those up to the rank ``end``.
 
     No source is sorted as a whole. Words are summed by source and slice of the random number, the
     slice in which a source's sample ends is found from the sums, and only that slice (one in
     ``SLICES``) is ranked row by row, equal rows counted before.
     """
-    rows = scratch.save(sized(docs, seed, doc_id, text, source), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.try_divide(F.col("target"), F.col("source_size"))
     plan = scratch.save(
         targets(sources, weights, most_copies)
-        .withColumn(
-            "whole", F.coalesce(F.floor(ratio), F.lit(0)).cast("long")
-        )
+        .withColumnRenamed("source", "cut_source")
+        .withColumn("whole", F.coalesce(F.floor(ratio), F.lit(0)).cast("long"))
         .withColumn("part", F.coalesce(ratio - F.col("whole"), F.lit(0.0)))
         .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")),
         "targets",
     )
-    same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    sampled = F.col("part") > 0
-    slice_of = F.floor(F.col("u") * SLICES).cast("int")
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("part") / (1 - F.col("part")))
-    ranked = (
-        rows.alias("d")
-        .join(plan.alias("p"), same)
-        .select(
-            "d.doc_id",
-            "d.source",
-            "size",
-            "source_size",
-            "target",
-            "whole",
-            "missing",
-            F.when(sampled, slice_of).alias("slice"),
-            F.when(sampled, odds).alias("odds"),
-        )
-    )
+    same = F.col("source").eqNullSafe(F.col("cut_source"))
     along = Window.partitionBy("source").orderBy("slice")
-    slices = (
-        ranked.filter(F.col("slice").isNotNull() & (F.col("size") > 0))
-        .groupBy("source", "slice")
-        .agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-    )
+    before = F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1))
     last = scratch.save(
-        slices.filter(
-            (F.col("before") <= F.col("missing"))
-            & (F.col("before") + F.col("words") > F.col("missing"))
-        ).select(
-            F.col("source").alias("s"), F.col("slice").alias("last_slice"), "before", "missing"
-        ),
+        rows.filter("size > 0")
+        .groupBy("source", _slice(F.col("u")).alias("slice"))
+        .agg(F.sum("size").alias("words"))
+        .withColumn("before", F.coalesce(before, F.lit(0)))
+        .join(plan.filter("part > 0").select("cut_source", "part", "missing"), same)
+        .filter("before <= missing AND before + words > missing")
+        .select("cut_source", F.col("slice").alias("last_slice"), "before", "part", "missing"),
         "last-slices",
     )
-    in_last = F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("last_slice"))
     order = Window.partitionBy("source").orderBy("odds", "doc_id")
-    edge = (
-        ranked.drop("missing")
-        .filter(F.col("size") > 0)
-        .join(last, in_last)
-        .groupBy("source", "odds", "doc_id", "before", "missing", "last_slice")
+    ends = (
+        rows.filter("size > 0")
+        .join(last, same & (_slice(F.col("u")) == F.col("last_slice")))
+        .withColumn("odds", _odds(F.col("u"), F.col("part")))
+        .groupBy("source", "odds", "doc_id", "before", "missing")
         .agg(F.sum("size").alias("words"))
         .withColumn("upto", F.col("before") + F.sum("words").over(order))
         .filter(F.col("upto") - F.col("words") / 2 <= F.col("missing"))
-        .groupBy("source", "last_slice")
+        .groupBy("source")
         .agg(F.max(F.struct("odds", "doc_id")).alias("end"))
-        .select(F.col("source").alias("e_source"), "end")
     )
-    ends = scratch.save(
-        last.join(edge, F.col("s").eqNullSafe(F.col("e_source")), "left").select(
-            "s", "last_slice", "end"
-        ),
-        "ends",
+    found = last.join(ends, same, "left").select(
+        F.col("cut_source").alias("last_source"), "last_slice", "end"
+    )
+    matching = F.col("cut_source").eqNullSafe(F.col("last_source"))
+    return scratch.save(
+        plan.join(found, matching, "left").drop("last_source", "missing", "weight", "limit"),
+        "cuts",
     )
-    rank = F.struct("odds", "doc_id")
+
+
+def _copies(doc_id: Column, size: Column, u: Column) -> Column:
+    """How often a document is taken, next to the row of its source in ``cuts``."""
+    rank = F.struct(_odds(u, F.col("part")).alias("odds"), doc_id.alias("doc_id"))
     chosen = (
-        (F.col("size") > 0)
-        & F.col("slice").isNotNull()
-        & F.coalesce(
-            (F.col("slice") < F.col("last_slice"))
-            | ((F.col("slice") == F.col("last_slice")) & (rank <= F.col("end"))),
-            F.lit(False),
+        (F.col("part") > 0)
+        & (size > 0)
+        & (
+            (_slice(u) < F.col("last_slice"))
+            | ((_slice(u) == F.col("last_slice")) & (rank <= F.col("end")))
         )
     )
-    copies = F.col("whole") + F.when(chosen, 1).otherwise(0)
+    return F.col("whole") + F.when(chosen, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    scratch: Scratch,
+    weights: Sequence[int] = WEIGHTS,
+    most_copies: int = MOST_COPIES,
+    seed: str = "mix",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    ``copies`` is how often the mix takes the document, ``taken`` its words times that. A null or
+    empty text has size 0 and is never sampled; a null source is a source of its own. Rows
+    that repeat a ``doc_id`` share one random number and so one fate; documents of equal rank are
+    taken in order of their ids. An empty table gives no rows.
+    """
+    rows = scratch.save(_sized(docs, seed, doc_id, text, source), "sizes")
+    of_source = F.col("source").eqNullSafe(F.col("cut_source"))
     return (
-        ranked.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("copies", copies.cast("long"))
+        rows.join(cuts(rows, scratch, weights, most_copies), of_source)
+        .withColumn("copies", _copies(F.col("doc_id"), F.col("size"), F.col("u")))
         .select(
             "doc_id",
             "source",
@@ -194,3 +188,38 @@ def mix(
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    scratch: Scratch,
+    weights: Sequence[int] = WEIGHTS,
+    most_copies: int = MOST_COPIES,
+    seed: str = "mix",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, in the columns of ``docs``.
+
+    Texts are joined with one row per source only, and not moved where that table is small.
+    """
+    rows = scratch.save(_sized(docs, seed, doc_id, text, source), "sizes")
+    table = cuts(rows, scratch, weights, most_copies)
+    own = fresh_name(docs, "own")
+    cut = table.select(F.struct(*table.columns).alias(own))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    of_source = F.col(f"doc.`{source}`").cast("string").eqNullSafe(F.col(f"{own}.cut_source"))
+    copies = _copies(
+        F.col(f"doc.`{doc_id}`"),
+        n_words(whole(F.col(f"doc.`{text}`"))),
+        uniform(F.col(f"doc.`{doc_id}`"), seed),
+    )
+    return (
+        named.join(cut, of_source)
+        .select("doc", f"{own}.*")
+        .withColumn("copies", copies)
+        .filter("copies > 0")
+        .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .select("doc.*")
+    )
