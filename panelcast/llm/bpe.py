@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.text import whole
 
 # Bounds of the memory of pre-tokens already encoded, in each Python worker.
-MOST_REMEMBERED = 600_000
+MOST_REMEMBERED = 400_000
 # Characters and bytes handled at once; they bound memory, not what is encoded.
 SEGMENT = 1_000_000
-ENCODED_AT_ONCE = 4_000_000
+ENCODED_AT_ONCE = 3_000_000
 MERGED_AT_ONCE = 2_000_000
 
 LOOSE_SPACE = re.compile(r" (?=\s|$)")
@@ -47,7 +47,9 @@ class RankQueue:
         if len(ranks) > 1:
             order = np.argsort(ranks, kind="stable")
             ranks, positions = ranks[order], positions[order]
-        starts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        elif not len(ranks):
+            return
+        starts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()]
         for rank, start, end in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)]):
             bucket = self.buckets.get(rank)
             if bucket is not None:
@@ -71,7 +73,10 @@ class RankQueue:
             if not self.middle[rank >> 12]:
                 self.top &= ~(1 << (rank >> 12))
         chunks = self.buckets.pop(rank)
-        return rank, np.unique(chunks[0] if len(chunks) == 1 else np.concatenate(chunks))
+        positions = np.sort(chunks[0] if len(chunks) == 1 else np.concatenate(chunks))
+        if len(positions) > 1:
+            positions = positions[np.concatenate(([True], positions[1:] != positions[:-1]))]
+        return rank, positions
 
 
 class Codec:
@@ -92,19 +97,27 @@ class Codec:
             raise ValueError("ranks must be below 2^20 - 1")
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.tokens, default=0) + 1)
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        ranks = self.ranks
-        pairs = sorted(
-            (ranks[token[:cut]] << 20 | ranks[token[cut:]], rank)
-            for token, rank in ranks.items()
-            for cut in range(1, len(token))
-            if token[:cut] in ranks and token[cut:] in ranks
-        )
-        self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], dtype=np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs] + [-1], dtype=np.int32)
+        self.pair_keys = None
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
+    def _prepare(self) -> None:
+        """Ranks of pairs of tokens, and of pairs of bytes."""
+        ranks = self.ranks
+        keys, joined = [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 20 | right)
+                    joined.append(rank)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.pair_keys = np.append(np.array(keys, dtype=np.int64)[order], 1 << 62)
+        self.pair_ranks = np.append(np.array(joined, dtype=np.int32)[order], np.int32(-1))
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.byte_pairs = self._rank_of(self.bytes[left], self.bytes[right]).astype(np.int32)
+
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.pair_keys, keys)
@@ -118,10 +131,13 @@ class Codec:
         over an end, so a bucket's positions can be joined at once. Should a join make a pair of
         a smaller rank, the order within its pre-token matters; such a one is done over by itself.
         """
+        if self.pair_keys is None:
+            self._prepare()
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         n = int(lengths.sum())
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         token = np.empty(n + 1, dtype=np.int32)
-        token[:n] = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        token[:n] = self.bytes[raw]
         token[n] = self.NONE
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         ends = np.cumsum(lengths) - 1
@@ -132,10 +148,10 @@ class Codec:
         before[0] = n
         alive = np.ones(n, dtype=bool)
         waiting = np.full(n + 1, -1, dtype=np.int32)
-        places = np.arange(n, dtype=np.int32)
-        waiting[:n] = self._rank_of(token[:n], token[after[:n]])
+        waiting[: n - 1] = self.byte_pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        waiting[ends] = -1
         queue = self.queue
-        queue.push(waiting[:n], places)
+        queue.push(waiting[:n], np.arange(n, dtype=np.int32))
         unruly: set[int] = set()
         while queue.top:
             rank, at = queue.pop()
@@ -150,6 +166,9 @@ class Codec:
                     at = at[(run - first) % 2 == 0]
             joined = after[at]
             end = after[joined]
+            crowded = len(at) > 1 and (end[:-1] == at[1:]).any()
+            # Where two joins meet, the pair that stands between them for a moment counts as well.
+            between = self._rank_of(np.full(len(at), rank), token[end]) if crowded else None
             token[at] = rank
             after[at] = end
             before[end] = at
@@ -164,6 +183,8 @@ class Codec:
             sooner = ((right_rank >= 0) & (right_rank < rank)) | (
                 (left_rank >= 0) & (left_rank < rank)
             )
+            if between is not None:
+                sooner |= (between >= 0) & (between < rank)
             if sooner.any():
                 unruly.update(owner[at[sooner]].tolist())
             queue.push(np.concatenate((right_rank, left_rank)), np.concatenate((at, left)))
@@ -329,6 +350,13 @@ class ByteBpe:
             for packed in batches:
                 yield pd.Series([own.decode(p) for p in packed], dtype=object)
 
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            own = codec(shared.value, pattern)
+            for texts in batches:
+                ids = own.encode(texts.tolist())
+                yield pd.DataFrame({"ids": ids, "decoded": [own.decode(p) for p in ids]})
+
+        self._both = F.pandas_udf(both, "ids binary, decoded binary")
         self._encode = F.pandas_udf(encode, "binary")
         self._decode = F.pandas_udf(decode, "binary")
 
@@ -340,6 +368,10 @@ class ByteBpe:
         """
         return self._encode(whole(text))
 
+    def encode_and_decode(self, text: Column | str) -> Column:
+        """``ids`` as of ``encode`` and ``decoded`` as of ``decode``, by one Python worker."""
+        return self._both(whole(text))
+
     def decode(self, ids: Column | str) -> Column:
         """The bytes that packed ids stand for; null for null."""
         ids = F.col(ids) if isinstance(ids, str) else ids

@@ -117,15 +117,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
     docs = _table(spark, sf_dir, "documents")
-    return (
-        docs.select("doc_id", bpe.encode("text").alias("ids"))
-        .withColumn("decoded", bpe.decode("ids"))
-        .select(
-            "doc_id",
-            n_tokens("ids").alias("n_tokens"),
-            F.sha2("ids", 256).alias("ids_sha256"),
-            F.sha2("decoded", 256).alias("decoded_sha256"),
-        )
+    return docs.select("doc_id", bpe.encode_and_decode("text").alias("b")).select(
+        "doc_id",
+        n_tokens("b.ids").alias("n_tokens"),
+        F.sha2("b.ids", 256).alias("ids_sha256"),
+        F.sha2("b.decoded", 256).alias("decoded_sha256"),
     )
 
 
