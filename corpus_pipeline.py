@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import quality
+from panelcast.llm import mixing, pii, quality, simhash_dedup
+from panelcast.llm.bpe import ByteBpe, n_tokens
 from panelcast.sources.scratch import Scratch
 
 
@@ -13,8 +15,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash_dedup.drop_near_copies(docs, Scratch(spark))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind."""
+    return pii.redact(docs, Scratch(spark))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs, Scratch(spark))
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed, little-endian, 32 bits) beside the columns of the documents, and the sums
+    of the ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    bpe = ByteBpe(
+        spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return docs.withColumn("b", bpe.encode_and_decode("text")).select(
+        *docs.columns,
+        F.col("b.ids").alias("ids"),
+        n_tokens("b.ids").alias("n_tokens"),
+        F.sha2("b.ids", 256).alias("ids_sha256"),
+        F.sha2("b.decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE encoding and decoding", byte_level_bpe),
 ]
 
 # Fingerprints, trained detectors and token ids have no SQL form; tests/llm compares the stages

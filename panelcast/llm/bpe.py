@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.text import whole
 
 # Bounds of the memory of pre-tokens already encoded, in each Python worker.
-MOST_REMEMBERED = 400_000
+MOST_REMEMBERED = 300_000
 # Characters and bytes handled at once; they bound memory, not what is encoded.
 SEGMENT = 1_000_000
-ENCODED_AT_ONCE = 3_000_000
+ENCODED_AT_ONCE = 2_000_000
 MERGED_AT_ONCE = 2_000_000
 
 LOOSE_SPACE = re.compile(r" (?=\s|$)")
