@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from panelcast.operators.model import pooled_gbt
 from panelcast.plans.job import run_job
+from panelcast.schema import HORIZON, N_LAGS
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -22,7 +23,15 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--replace-from", default="current", choices=["current", "last"])
     parser.add_argument("--retrain", default="each_step", choices=["each_step", "once"])
     parser.add_argument("--trees", type=int, default=500)
+    parser.add_argument("--horizon", type=int, default=HORIZON)
+    parser.add_argument("--lags", type=int, default=N_LAGS)
+    parser.add_argument("--calendar", default="contiguous", choices=["observed", "contiguous"])
+    parser.add_argument("--sep", help="separator of the dropped files")
+    parser.add_argument("--encoding", help="encoding of the dropped files")
+    parser.add_argument("--decimal", help="decimal mark of the dropped files")
+    parser.add_argument("--single-file", action="store_true", help="export one file of any length")
     options = parser.parse_args(argv)
+    given = {name: getattr(options, name) for name in ("sep", "encoding", "decimal")}
     spark = SparkSession.builder.appName("panelcast").getOrCreate()
     run_job(
         spark,
@@ -34,7 +43,12 @@ def main(argv: list[str] | None = None) -> None:
         options.as_of,
         options.replace_from,
         options.retrain,
-        pooled_gbt(n_trees=options.trees),
+        pooled_gbt(n_trees=options.trees, n_lags=options.lags),
+        {name: value for name, value in given.items() if value is not None},
+        options.single_file,
+        horizon=options.horizon,
+        n_lags=options.lags,
+        calendar_mode=options.calendar,
     )
 
 

@@ -26,6 +26,12 @@ def period_end(day: Column | str) -> Column:
     return F.last_day(day)
 
 
+def month_end(day: dt.date, months: int = 0) -> dt.date:
+    """Last day of the month that lies ``months`` after that of ``day``."""
+    count = day.year * 12 + day.month + months
+    return dt.date(count // 12, count % 12 + 1, 1) - dt.timedelta(days=1)
+
+
 def clock(as_of: dt.date | None) -> Column:
     """The reference day; the wall clock only when none is given."""
     return F.current_date() if as_of is None else F.lit(as_of)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.periods import clock, first_day, parse_period, period_end
+from panelcast.functions.periods import clock, first_day, month_end, parse_period, period_end
 from panelcast.schema import HORIZON
 
 
@@ -20,7 +20,7 @@ def distinct_labels(history: DataFrame) -> DataFrame:
 def distinct_periods(frame: DataFrame) -> DataFrame:
     """Distinct months, compared after parsing so that spellings of one month are one month."""
     if "period" not in frame.columns:
-        frame = frame.select(parse_period("periode").alias("period"))
+        frame = distinct_labels(frame)
     return frame.select("period").distinct()
 
 
@@ -57,11 +57,16 @@ class Horizon:
     last_month: int
     last_predicted: int
     n_months: int
+    last_period: dt.date
 
     @property
     def steps(self) -> int:
         return self.last_predicted - self.last_month
 
+    def period_end(self, month: int) -> dt.date:
+        """Last day of a month from the last complete one on, counted as the spine does."""
+        return month_end(self.last_period, month - self.last_month)
+
 
 def _measured(calendar: DataFrame, as_of: dt.date | None, horizon: int) -> DataFrame:
     is_current = F.col("period") == first_day(clock(as_of))
@@ -93,7 +98,14 @@ def read_horizon(
         raise ValueError("the history holds no period")
     if row["last_month"] < 0:
         raise ValueError("the history holds no complete month before the current one")
-    return Horizon(row["current_month"], row["last_month"], row["last_predicted"], row["n_months"])
+    last = calendar.filter(F.col("month") == row["last_month"]).first()
+    return Horizon(
+        row["current_month"],
+        row["last_month"],
+        row["last_predicted"],
+        row["n_months"],
+        last["period"],
+    )
 
 
 def month_spine(calendar: DataFrame, bounds: Horizon) -> DataFrame:

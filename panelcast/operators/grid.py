@@ -31,13 +31,17 @@ def monthly_sums(
 ) -> DataFrame:
     """Sum of all measures per key and month in one pass, nulls as zero.
 
-    This is the only step that shuffles facts. Partial sums leave each task at most one row per
+    This is the only step that shuffles by facts' keys. Partial sums leave each task at most one row per
     series and month, so a hot series costs no more than any other. Decimals are summed as
     decimals and cast afterwards, which makes the result independent of summation order.
+
+    Facts are summed by label first. Only then are labels parsed and the spellings of one month
+    brought together, which takes a second sum over what little is left.
     """
+    by_label = history.groupBy(*keys, "periode").agg(*[F.sum(m).alias(m) for m in measures])
     sums = [F.coalesce(F.sum(m).cast("double"), F.lit(0.0)).alias(m) for m in measures]
     return (
-        history.withColumn("period", parse_period("periode")).groupBy(*keys, "period").agg(*sums)
+        by_label.withColumn("period", parse_period("periode")).groupBy(*keys, "period").agg(*sums)
     )
 
 
@@ -113,11 +117,19 @@ def calendar_left_join(
     return zero_fill(joined, measures).select("month", "period", *measures)
 
 
-def grid_shape(catalog: Catalog, calendar: DataFrame) -> DataFrame:
-    n_series = F.lit(catalog.n_series).cast("long")
-    return calendar.agg(F.count("*").alias("n_months")).select(
-        n_series.alias("n_series"), "n_months", (n_series * F.col("n_months")).alias("n_cells")
+def grid_shape(grid: DataFrame) -> DataFrame:
+    """Series, months and cells of a grid, counted: one sum per month, then one over the months.
+
+    Series are counted by the partitioning that the grid has.
+    """
+    n_series = grid.groupBy("series_id").agg(F.count("*").alias("cells")).agg(
+        F.count("*").alias("n_series"), F.sum("cells").alias("n_cells")
+    )
+    n_months = grid.groupBy("month").agg(F.count("*").alias("cells")).agg(
+        F.count("*").alias("n_months")
     )
+    # One row on either side.
+    return n_series.crossJoin(F.broadcast(n_months)).select("n_series", "n_months", "n_cells")
 
 
 def pivot_months(grid: DataFrame, measure: str, n_months: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -54,12 +55,17 @@ def join_measures(
 
 
 def publish_replace_slice(
-    published: DataFrame, fresh: DataFrame, replace_from: int
+    published: DataFrame, fresh: DataFrame, replace_from: dt.date
 ) -> DataFrame:
-    """Published months before ``replace_from`` and fresh ones from there on; rerunning it
-    changes nothing."""
-    kept = published.filter(F.col("month") < replace_from)
-    return kept.unionByName(fresh.filter(F.col("month") >= replace_from)).select(*PUBLISHED.names)
+    """Published months that end before ``replace_from`` and fresh ones from there on; rerunning
+    it changes nothing.
+
+    Months are told apart by the day they end, not by their number, which counts from the first month
+    of one history and would mean another month in a history that begins elsewhere.
+    """
+    kept = published.filter(F.col("period_end") < F.lit(replace_from))
+    renewed = fresh.filter(F.col("period_end") >= F.lit(replace_from))
+    return kept.unionByName(renewed).select(*PUBLISHED.names)
 
 
 def with_file_labels(frame: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import copy
 import datetime as dt
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ from panelcast.schema import (
     N_LAGS,
     PUBLISHED,
     PUBLISHED_LABELS,
+    feature_names,
 )
 from panelcast.sources.bindings import bound_history
 from panelcast.sources.scratch import Scratch
@@ -34,6 +35,7 @@ from panelcast.streaming.drop import ingest_drop, read_audit, read_ingested
 
 AS_OF = dt.date(2001, 8, 15)
 EARLIER = dt.date(2001, 7, 15)
+LONG_BEFORE = dt.date(2001, 1, 15)
 REDUCED_OUT = "BUILDING"
 N_TREES = 20
 LEARNING_RATE = 0.1
@@ -65,7 +67,11 @@ class Bound:
 
     @cached_property
     def lists(self) -> DataFrame:
-        return series.observed_members(self.sums, self.scratch)
+        """From the sums where they are needed anyway, else from the distinct keys alone."""
+        facts = self.__dict__.get("sums")
+        if facts is None:
+            facts = series.distinct_series(self.history)
+        return series.observed_members(facts, self.scratch)
 
     @cached_property
     def catalog(self) -> series.Catalog:
@@ -207,17 +213,28 @@ def union_by_name(b: Bound) -> DataFrame:
 
 def assemble_features(b: Bound) -> DataFrame:
     vectors = model.assemble_features(b.measure("ca"))
-    width = F.size(vector_to_array("features"))
-    return vectors.select("series_id", "month", width.alias("n_features"))
+    parts = vectors.select("series_id", "month", vector_to_array("features").alias("f"))
+    return parts.select(
+        "series_id",
+        "month",
+        F.size("f").alias("n_features"),
+        *[F.get("f", F.lit(i)).alias(f"f_{name}") for i, name in enumerate(feature_names())],
+    )
 
 
 def fit_pooled_model(b: Bound) -> DataFrame:
     train = b.measure("ca")
     trees = model.fit_pooled_model(train, boosted()).stages[-1]
-    return train.agg(F.count("*").alias("n_train")).select(
+    seen = train.agg(
+        F.count("*").alias("n_train"),
+        F.min("month").alias("first_month"),
+        F.max("month").alias("last_month"),
+        F.count_if(F.col("y") != 0).alias("n_not_zero"),
+    )
+    return seen.select(
         F.lit(trees.getNumTrees).cast("int").alias("n_trees"),
         F.lit(trees.numFeatures).cast("int").alias("n_features"),
-        "n_train",
+        "*",
     )
 
 
@@ -236,7 +253,15 @@ def predict_all_measures(b: Bound) -> DataFrame:
         frame.select(F.lit(m).alias("measure"), "series_id", "month", "y_pred")
         for m, frame in predictions.items()
     ]
-    return named[0].unionByName(named[1])
+    return reduce(DataFrame.unionByName, named)
+
+
+def predicted_cells(b: Bound) -> DataFrame:
+    """Which cells are predicted, and whether each prediction is a number."""
+    finite = F.coalesce(~F.isnan("y_pred") & (F.abs("y_pred") < float("inf")), F.lit(False))
+    return predict_all_measures(b).select(
+        "measure", "series_id", "month", finite.alias("is_finite")
+    )
 
 
 def join_measures(b: Bound) -> DataFrame:
@@ -245,20 +270,33 @@ def join_measures(b: Bound) -> DataFrame:
 
 def publish_replace_slice(b: Bound) -> DataFrame:
     published = b.at(EARLIER).fixed_outlook()
-    return publish.publish_replace_slice(published, b.fixed_outlook(), b.bounds.current_month)
+    first = b.bounds.period_end(b.bounds.current_month)
+    return publish.publish_replace_slice(published, b.fixed_outlook(), first)
 
 
-def publish_twice(b: Bound) -> DataFrame:
+def _published(b: Bound, days: list[dt.date]) -> DataFrame:
+    """The table after one publication on each of some days, each outlook computed once."""
     path = b.scratch.folder("published-table")
-    earlier = b.at(EARLIER)
-    for view in (earlier, b, b):
-        bounds = view.bounds
-        publish_partitions(
-            view.fixed_outlook(), path, bounds.current_month, bounds.last_predicted, b.scratch
-        )
+    outlooks = {day: b.at(day) for day in dict.fromkeys(days)}
+    written = {
+        day: b.scratch.save(view.fixed_outlook(), "outlook") for day, view in outlooks.items()
+    }
+    for day in days:
+        bounds = outlooks[day].bounds
+        first, last = bounds.current_month, bounds.last_predicted
+        publish_partitions(written[day], path, bounds.period_end(first), bounds.period_end(last))
     return read_published(b.spark, path)
 
 
+def publish_twice(b: Bound) -> DataFrame:
+    return _published(b, [EARLIER, b.as_of, b.as_of])
+
+
+def publish_after_pause(b: Bound) -> DataFrame:
+    """The former run's predictions end two months before the current month."""
+    return _published(b, [LONG_BEFORE, b.as_of])
+
+
 def export_labelled(b: Bound) -> DataFrame:
     path = b.scratch.folder("export")
     export_csv(b.scratch.save(b.fixed_outlook(), "outlook"), path)
@@ -276,6 +314,17 @@ def end_to_end(b: Bound) -> DataFrame:
     return outlook
 
 
+def end_to_end_cells(b: Bound) -> DataFrame:
+    """The whole job's actual values, and which cells hold a prediction that is a number."""
+
+    def finite(name: str) -> Column:
+        value = F.col(name)
+        return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+    flags = [finite(f"{m}_pred").alias(f"{m}_predicted") for m in MEASURES]
+    return end_to_end(b).select("month", "period_end", *KEYS, *MEASURES, *flags)
+
+
 def _drop(b: Bound) -> tuple[str, str]:
     """Drop the history as files, take it up twice, return the two tables' paths."""
     drop, history, audit, progress = (
@@ -296,6 +345,16 @@ def ingest_audit(b: Bound) -> DataFrame:
     return read_audit(b.spark, _drop(b)[1])
 
 
+def ingest_counts(b: Bound) -> DataFrame:
+    """Whether the audit lists each file once, all in the first batch, by name."""
+    audit = read_audit(b.spark, _drop(b)[1])
+    return audit.agg(
+        (F.count("*") == F.count_distinct("file_path")).alias("each_once"),
+        F.max("batch_id").alias("last_batch"),
+        (F.count_if(F.col("file_size") > 0) == F.count("*")).alias("all_sized"),
+    )
+
+
 STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "scan_history": scan_history,
     "scan_dimensions": scan_dimensions,
@@ -320,7 +379,7 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "zero_grid": lambda b: grid.zero_grid(b.catalog, b.bounds.n_months),
     "dense_grid": lambda b: b.grid,
     "zero_fill": zero_fill_cells,
-    "grid_shape": lambda b: grid.grid_shape(b.catalog, b.calendar),
+    "grid_shape": lambda b: grid.grid_shape(b.grid),
     "pivot_months": pivot_months,
     "unpivot_months": lambda b: grid.unpivot_months(pivot_months(b), "ca"),
     "sort_long": lambda b: grid.sort_long(b.grid.select("month", "series_id", "ca")),
@@ -341,6 +400,7 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "score_month": score_month,
     "recursive_predict": lambda b: b.rolled("ca", boosted(), "each_step"),
     "predict_all_measures": predict_all_measures,
+    "predicted_cells": predicted_cells,
     "split_actual_predicted": lambda b: b.shaped_one("ca"),
     "future_slice": lambda b: months.months_from(b.shaped_one("ca"), b.bounds.current_month),
     "last_horizon_slice": lambda b: months.month_slice(
@@ -353,10 +413,13 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "join_measures": join_measures,
     "publish_replace_slice": publish_replace_slice,
     "publish_partitions": publish_twice,
+    "publish_after_pause": publish_after_pause,
     "export_csv": export_labelled,
     "end_to_end": end_to_end,
+    "end_to_end_cells": end_to_end_cells,
     "ingest_drop": ingested,
     "ingest_audit": ingest_audit,
+    "ingest_counts": ingest_counts,
 }
 
 

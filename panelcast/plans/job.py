@@ -26,11 +26,17 @@ def run_job(
     replace_from: str = "current",
     retrain: str = "each_step",
     estimator: Estimator | None = None,
+    reader_options: dict[str, str] | None = None,
+    single_file: bool = False,
+    **options,
 ) -> Horizon | None:
     """Keep history, audit, published table and export under ``store``.
 
     By default every dropped file is the whole history and the newest one counts; otherwise
     files add to one another. As long as no file was ever dropped nothing is done.
+    ``reader_options`` are those of ``read_history`` for the dropped files (``sep``, ``encoding``,
+    ``decimal``), ``single_file`` is that of the export, and ``options`` (``horizon``, ``n_lags``,
+    ``calendar_mode``) are those of ``run_outlook``.
     """
     store = store.rstrip("/")
     history_path, audit_path = f"{store}/history", f"{store}/audit"
@@ -42,7 +48,8 @@ def run_job(
         audit_path,
         f"{store}/progress",
         fmt,
-        max_files=1 if whole_history_per_file else 1000,
+        newest_only=whole_history_per_file,
+        reader_options=reader_options,
     )
     history = read_ingested(spark, history_path, audit_path if whole_history_per_file else None)
     if history is None:
@@ -60,8 +67,9 @@ def run_job(
             as_of=as_of,
             retrain=retrain,
             estimator=estimator,
+            **options,
         )
     finally:
         scratch.close()
-    export_csv(read_published(spark, published_path), export_path)
+    export_csv(read_published(spark, published_path), export_path, single_file)
     return bounds

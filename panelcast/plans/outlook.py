@@ -123,7 +123,9 @@ def publish_outlook(
     try:
         outlook, bounds = run_outlook(history, scratch, dimensions, **options)
         first = bounds.current_month if replace_from == "current" else bounds.last_month
-        publish_partitions(outlook, path, first, bounds.last_predicted, scratch)
+        publish_partitions(
+            outlook, path, bounds.period_end(first), bounds.period_end(bounds.last_predicted)
+        )
     finally:
         scratch.close()
     return bounds

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelcast.sources.folders import delete_folder
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset on a local master.
+    """``spark.checkpoint.dir``; where it is unset on a local master, a folder that goes with the
+    process.
 
     The context is pointed to the same folder, for the checkpoints of iterative training.
     """
@@ -24,9 +28,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return already_set
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="panelcast-")
+    root = f"/tmp/checkpoints/panelcast-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(root)
-    return root
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return spark.sparkContext.getCheckpointDir()
 
 
 class Scratch:
@@ -53,6 +58,4 @@ class Scratch:
 
     def close(self) -> None:
         """Delete the folder; frames that still read from it become unusable."""
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        file_system = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        file_system.delete(hadoop_path, True)
+        delete_folder(self.spark, self.path)

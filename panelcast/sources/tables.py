@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from panelcast.sources.scratch import Scratch
 CSV_READ = {"header": True, "escape": '"', "enforceSchema": False, "mode": "FAILFAST"}
 
 
-def _scan(
+def scan(
     spark: SparkSession, path: str | Sequence[str], fmt: str, options: dict | None = None
 ) -> DataFrame:
     defaults = CSV_READ if fmt == "csv" else {}
@@ -35,10 +35,21 @@ def rename_columns(frame: DataFrame, labels: dict[str, str]) -> DataFrame:
     return frame.select(*[F.col(f"`{old}`").alias(new) for old, new in labels.items()])
 
 
-def normalise_history(raw: DataFrame) -> DataFrame:
-    """Seven columns with internal names and types; other columns of the file are not read."""
+def normalise_history(raw: DataFrame, decimal: str = ".") -> DataFrame:
+    """Seven columns with internal names and types; other columns of the file are not read.
+
+    ``decimal`` is the mark that amounts written as text have.
+    """
     named = rename_columns(raw, HISTORY_LABELS) if "période" in raw.columns else raw
-    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields])
+    texts = {f.name for f in named.schema if isinstance(f.dataType, T.StringType)}
+
+    def typed(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if decimal != "." and field.name in texts and isinstance(field.dataType, T.DecimalType):
+            value = F.replace(value, F.lit(decimal), F.lit("."))
+        return value.cast(field.dataType).alias(field.name)
+
+    return named.select(*[typed(f) for f in HISTORY.fields])
 
 
 def read_history(
@@ -46,9 +57,11 @@ def read_history(
 ) -> DataFrame:
     """Fact scan; accepts the labels of the exchanged file or the internal names.
 
-    ``options`` go to the reader, for instance ``sep=";"``.
+    ``options`` go to the reader, for instance ``sep=";"``; ``decimal=","`` is for amounts with a
+    decimal comma.
     """
-    return normalise_history(_scan(spark, path, fmt, options))
+    decimal = options.pop("decimal", ".")
+    return normalise_history(scan(spark, path, fmt, options), decimal)
 
 
 def read_dimensions(
@@ -61,7 +74,7 @@ def read_dimensions(
     """
     numbered, plain = [], []
     for dim, sheet in DIMENSION_LISTS.items():
-        members = _scan(spark, f"{path.rstrip('/')}/{sheet}", fmt)
+        members = scan(spark, f"{path.rstrip('/')}/{sheet}", fmt)
         value = F.col(f"`{members.columns[0]}`").cast("string").alias("value")
         if "ord" in members.columns:
             place = F.col("ord").cast("int")

@@ -10,9 +10,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as driver
+from panelcast.plans import checks, oracle
 
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
+QUERIES = checks.registered()
+ORACLE = oracle.statements()
 ROWS = {
     "score_month": 150,
     "recursive_predict": 900,
@@ -26,6 +27,7 @@ TYPES = {
     "double": "DOUBLE",
     "date": "DATE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
 }
 
 
@@ -42,6 +44,7 @@ def duck():
 def test_every_query_is_accounted_for():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == set(ROWS)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
 
 
 def canonical(rows, columns):

@@ -31,8 +31,12 @@ def test_feature_frame_shuffles_cells_once(bound, monkeypatch):
 
 def test_sums_combine_before_the_shuffle(bound):
     plan = plan_of(grid.monthly_sums(bound.history))
-    assert plan.count("partial_sum") >= 2
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+    assert plan.count("partial_sum") >= 4
+    # One exchange of facts, summed by label, and one of what is left by month.
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(exchanges) == 2 and "periode" in exchanges[1] and "period#" in exchanges[0]
+    # No label is parsed below the first sum.
+    assert not re.search("gettimestamp|to_date|cast.*as date", plan.split(exchanges[1])[1])
 
 
 def test_scans_read_needed_columns_only(bound):

@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 
 from panelcast.schema import HISTORY_LABELS
@@ -65,13 +68,46 @@ def test_any_name_any_column_order(spark, place):
     assert read_audit(spark, paths[1]).count() == 2
 
 
-def test_files_of_a_batch_must_agree(spark, place):
+@pytest.mark.parametrize("max_files", [1, 1000])
+def test_files_of_a_batch_need_not_agree(spark, place, max_files):
     drop, paths = place
     put(drop, "a.csv", "2021-01,A,c,o,p,1,9")
     header = "mg mois,période,bu,ctt,opé,pthrough ?,ca mois"
     put(drop, "b.csv", "9,2021-01,A,c,o,p,1", header=header)
-    with pytest.raises(Exception, match="header|schema"):
+    ingest_drop(spark, str(drop), *paths, fmt="csv", max_files=max_files)
+    rows = read_ingested(spark, paths[0]).collect()
+    assert [(r.periode, float(r.ca), float(r.mg)) for r in rows] == [("2021-01", 1.0, 9.0)] * 2
+
+
+def test_old_files_count_as_new(spark, place):
+    drop, paths = place
+    for i, days in enumerate([0, 10, 4000, 0]):
+        put(drop, f"{i}.csv", f"2021-0{i + 1},A,c,o,p,{i},0")
+        then = time.time() - days * 86_400
+        os.utime(drop / f"{i}.csv", (then, then))
         ingest_drop(spark, str(drop), *paths, fmt="csv")
+        assert read_ingested(spark, paths[0]).count() == i + 1
+    assert read_audit(spark, paths[1]).count() == 4
+
+
+def test_only_the_newest_of_a_backlog_is_stored(spark, place):
+    drop, paths = place
+    for i, days in enumerate([5, 1, 3]):
+        put(drop, f"{i}.csv", f"2021-0{i + 1},A,c,o,p,{i},0")
+        then = time.time() - days * 86_400
+        os.utime(drop / f"{i}.csv", (then, then))
+    ingest_drop(spark, str(drop), *paths, fmt="csv", newest_only=True)
+    assert [r.periode for r in read_ingested(spark, *paths[:2]).collect()] == ["2021-02"]
+    assert read_audit(spark, paths[1]).count() == 3
+
+
+def test_semicolons_and_decimal_commas(spark, place):
+    drop, paths = place
+    put(drop, "a.csv", "2021-01;A;c;o;p;1,5;-0,25", header=HEADER.replace(",", ";"))
+    options = {"sep": ";", "decimal": ","}
+    ingest_drop(spark, str(drop), *paths, fmt="csv", reader_options=options)
+    (row,) = read_ingested(spark, paths[0]).collect()
+    assert (float(row.ca), float(row.mg)) == (1.5, -0.25)
 
 
 def test_missing_column_fails(spark, place):
