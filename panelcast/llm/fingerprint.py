@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ RADIUS = 3
 EXTRA_BLOCKS = 3
 LONGEST_WEIGHED = 12
 TERMS_AT_ONCE = 16_384
+ROWS_AT_ONCE = 64
 
 
 def simhash(raw: bytes) -> int:
@@ -128,35 +130,42 @@ def _edited(text: str, following: str) -> tuple[str, int]:
     return hashlib.sha256(raw).hexdigest(), simhash(raw)
 
 
-def _along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted partition in one pass: every row with the row behind it.
 
     The last row lacks its neighbour; it leaves as a ``tail`` with its text, and the first row once
-    more as a ``head``, for the partition before.
+    more as a ``head``, for the partition before. Batches are taken apart a few rows at a time, so that
+    little of a partition is in Python's memory at once.
     """
     part = TaskContext.get().partitionId()
-    columns = [f.split()[0] for f in FIELDS.split(", ")]
     held = None
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            fp = simhash(text.encode())
-            if held is None:
-                out.append(("head", part, doc_id, len(text), None, fp, None, None, text))
-            else:
-                before_id, before, before_fp = held
-                sha, edited_fp = _edited(before, text)
-                out.append(
-                    ("row", part, before_id, len(before), sha, before_fp, edited_fp, fp, None)
-                )
-            held = (doc_id, text, fp)
-        frame = pd.DataFrame(out, columns=columns, dtype=object)
-        yield frame
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            piece = batch.slice(start, ROWS_AT_ONCE)
+            out = []
+            for doc_id, text in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist()):
+                fp = simhash(text.encode())
+                if held is None:
+                    out.append(("head", part, doc_id, len(text), None, fp, None, None, text))
+                else:
+                    before_id, before, before_fp = held
+                    sha, edited_fp = _edited(before, text)
+                    out.append(
+                        ("row", part, before_id, len(before), sha, before_fp, edited_fp, fp, None)
+                    )
+                held = (doc_id, text, fp)
+            if out:
+                yield _rows(out)
     if held is not None:
         doc_id, text, fp = held
-        last = ("tail", part, doc_id, len(text), None, fp, None, None, text)
-        yield pd.DataFrame([last], columns=columns, dtype=object)
+        yield _rows([("tail", part, doc_id, len(text), None, fp, None, None, text)])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    fields = [field.split() for field in FIELDS.split(", ")]
+    columns = [pa.array(c, types[kind]) for c, (_, kind) in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
 def _finish(text: pd.Series, following: pd.Series) -> pd.DataFrame:
@@ -184,7 +193,7 @@ def edited_with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
-        .mapInPandas(_along, FIELDS),
+        .mapInArrow(_along, FIELDS),
         "edited",
     )
     results = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"]
