@@ -19,7 +19,9 @@ from panelcast.sources.scratch import Scratch
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-SLICES = 16_384
+# Random numbers are cut into WIDTH slices, and the slice that matters into as many again.
+WIDTH = 128
+LEVELS = 2
 UNIT = 1 << 52
 
 
@@ -77,8 +79,8 @@ def _sized(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> D
     )
 
 
-def _slice(u: Column) -> Column:
-    return F.floor(u * SLICES).cast("int")
+def _slice(u: Column, level: int | None = None) -> Column:
+    return F.floor(u * WIDTH ** (LEVELS if level is None else level)).cast("int")
 
 
 def _odds(u: Column, part: Column) -> Column:
@@ -94,8 +96,9 @@ def cuts(
     ``last_slice`` are taken once more, and of that slice those up to the rank ``end``.
 
     No source is sorted as a whole. Words are summed by source and slice of the random number, the
-    slice in which a source's sample ends is found from the sums, and only that slice (one in
-    ``SLICES``) is ranked row by row, equal rows counted before.
+    slice in which a source's sample ends is found from the sums and cut again, and only the last
+    (one in ``WIDTH ** LEVELS``) is ranked row by row, equal rows counted before. The windows over a
+    source so have at most ``WIDTH`` rows, but for the rows of that last slice.
     """
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.try_divide(F.col("target"), F.col("source_size"))
@@ -108,18 +111,25 @@ def cuts(
         "targets",
     )
     same = F.col("source").eqNullSafe(F.col("cut_source"))
-    along = Window.partitionBy("source").orderBy("slice")
-    before = F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    last = scratch.save(
-        rows.filter("size > 0")
-        .groupBy("source", _slice(F.col("u")).alias("slice"))
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(plan.filter("part > 0").select("cut_source", "part", "missing"), same)
-        .filter("before <= missing AND before + words > missing")
-        .select("cut_source", F.col("slice").alias("last_slice"), "before", "part", "missing"),
-        "last-slices",
-    )
+    along = Window.partitionBy("cut_source").orderBy("slice")
+    preceding = F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    last = plan.filter("part > 0").select(
+        "cut_source", F.lit(0).alias("last_slice"), F.lit(0).cast("long").alias("before"),
+        "part", "missing",
+    )
+    for level in range(1, LEVELS + 1):
+        inside = same & (_slice(F.col("u"), level - 1) == F.col("last_slice"))
+        last = scratch.save(
+            rows.filter("size > 0")
+            .join(last, inside)
+            .withColumn("slice", _slice(F.col("u"), level))
+            .groupBy("cut_source", "part", "missing", "before", "slice")
+            .agg(F.sum("size").alias("words"))
+            .withColumn("before", F.col("before") + F.coalesce(preceding, F.lit(0)))
+            .filter("before <= missing AND before + words > missing")
+            .select("cut_source", F.col("slice").alias("last_slice"), "before", "part", "missing"),
+            "last-slices",
+        )
     order = Window.partitionBy("source").orderBy("odds", "doc_id")
     ends = (
         rows.filter("size > 0")

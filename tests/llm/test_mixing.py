@@ -46,9 +46,9 @@ def many(spark, n=6000):
     )
 
 
-@pytest.mark.parametrize("slices", [1, 64, 16_384])
-def test_close_to_the_targets(spark, scratch, slices, monkeypatch):
-    monkeypatch.setattr(mixing, "SLICES", slices)
+@pytest.mark.parametrize("width", [1, 8, 128])
+def test_close_to_the_targets(spark, scratch, width, monkeypatch):
+    monkeypatch.setattr(mixing, "WIDTH", width)
     rows = mix(many(spark), scratch).collect()
     taken, target, expected = {}, {}, {}
     for r in rows:
