@@ -24,30 +24,31 @@ def recursive_predict(
     horizon: int = HORIZON,
     n_lags: int = N_LAGS,
     retrain: str = "each_step",
+    opening: DataFrame | None = None,
 ) -> DataFrame:
     """Predict the months after ``last_month``, each from lags that include earlier predictions.
 
     ``lagged`` is ``(series_id, month, y, lag_1..lag_(n_lags+1))`` up to ``last_month``, read
     from a written table since training passes over it several times. The state of the loop is
     one row per series with its trailing lags, so every step is a projection of the one before.
+    It starts from the rows of ``last_month``, given as ``opening`` where they are stored apart.
 
     ``each_step`` refits before every month with earlier predictions as further labels and
     stores each step once; ``once`` fits on actual months only and scores all steps in a single
     pass over the last month.
     """
+    last = lagged.filter(F.col("month") == last_month) if opening is None else opening
+    scoring = next_month(last, "y", n_lags)
     if retrain == "each_step":
-        return _refitted(lagged, estimator, last_month, scratch, horizon, n_lags)
+        return _refitted(lagged, scoring, estimator, last_month, scratch, horizon, n_lags)
     if retrain == "once":
-        return _fitted_once(lagged, estimator, last_month, horizon, n_lags)
+        return _fitted_once(lagged, scoring, estimator, last_month, horizon, n_lags)
     raise ValueError(f"unknown retrain mode: {retrain}")
 
 
-def _opening(lagged: DataFrame, last_month: int, n_lags: int) -> DataFrame:
-    return next_month(lagged.filter(F.col("month") == last_month), "y", n_lags)
-
-
 def _refitted(
     lagged: DataFrame,
+    scoring: DataFrame,
     estimator: Estimator,
     last_month: int,
     scratch: Scratch,
@@ -55,7 +56,6 @@ def _refitted(
     n_lags: int,
 ) -> DataFrame:
     history = lagged.filter(F.col("month") <= last_month)
-    scoring = _opening(lagged, last_month, n_lags)
     predicted = None
     for step in range(1, horizon + 1):
         train = history
@@ -69,11 +69,16 @@ def _refitted(
 
 
 def _fitted_once(
-    lagged: DataFrame, estimator: Estimator, last_month: int, horizon: int, n_lags: int
+    lagged: DataFrame,
+    scoring: DataFrame,
+    estimator: Estimator,
+    last_month: int,
+    horizon: int,
+    n_lags: int,
 ) -> DataFrame:
     model = fit_pooled_model(lagged.filter(F.col("month") <= last_month), estimator, n_lags)
     no_steps = F.array().cast("array<double>")
-    scoring = _opening(lagged, last_month, n_lags).withColumn("path", no_steps)
+    scoring = scoring.withColumn("path", no_steps)
     for _ in range(horizon):
         scored = score_month(scoring, model, n_lags)
         path = F.array_append("path", F.col("y_pred"))
@@ -95,6 +100,7 @@ def predict_measures(
     horizon: int = HORIZON,
     n_lags: int = N_LAGS,
     retrain: str = "each_step",
+    opening: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The same procedure for each measure of a frame with prefixed lags.
 
@@ -111,6 +117,7 @@ def predict_measures(
             horizon,
             n_lags,
             retrain,
+            None if opening is None else measure_frame(opening, measure, n_lags),
         )
 
     with ThreadPool(len(measures)) as pool:

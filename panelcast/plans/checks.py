@@ -16,7 +16,7 @@ from panelcast.functions.nulls import zero_fill
 from panelcast.operators import calendar as months
 from panelcast.operators import catalog as series
 from panelcast.operators import features, grid, model, publish, roll
-from panelcast.plans.outlook import Panel, outlook_of, run_outlook
+from panelcast.plans.outlook import Panel, outlook_of, run_outlook, store_lagged
 from panelcast.schema import (
     HISTORY_LABELS,
     HORIZON,
@@ -56,7 +56,7 @@ class Bound:
         other.__dict__.update(
             sums=self.sums, lists=self.lists, catalog=self.catalog, calendar=self.calendar
         )
-        for name in ("bounds", "grid", "complete", "lagged", "spine"):
+        for name in ("bounds", "grid", "complete", "stored", "spine"):
             other.__dict__.pop(name, None)
         other.as_of = as_of
         return other
@@ -97,9 +97,18 @@ class Bound:
         return grid.dense_grid(self.sums, self.catalog, self.calendar, self.bounds.current_month)
 
     @cached_property
+    def stored(self) -> tuple[DataFrame, DataFrame]:
+        return store_lagged(
+            self.complete, self.bounds.last_month, self.scratch, MEASURES, N_LAGS
+        )
+
+    @property
     def lagged(self) -> DataFrame:
-        lagged = features.with_lags(self.complete, MEASURES, N_LAGS + 1, prefixed=True)
-        return self.scratch.save(lagged, "lagged")
+        return self.stored[0]
+
+    @property
+    def opening(self) -> DataFrame:
+        return self.stored[1]
 
     @cached_property
     def spine(self) -> DataFrame:
@@ -122,6 +131,7 @@ class Bound:
             self.bounds.last_month,
             self.scratch,
             retrain=retrain,
+            opening=features.measure_frame(self.opening, name),
         )
 
     def shaped(self) -> DataFrame:
@@ -141,7 +151,7 @@ class Bound:
         return series.relabel_series(self.shaped_one(name), self.catalog, self.spine)
 
     def fixed_outlook(self) -> DataFrame:
-        panel = Panel(self.catalog, self.calendar, self.bounds, self.lagged)
+        panel = Panel(self.catalog, self.calendar, self.bounds, self.lagged, self.opening)
         return outlook_of(panel, self.scratch, fixed(), retrain="once")
 
 
@@ -241,13 +251,18 @@ def fit_pooled_model(b: Bound) -> DataFrame:
 def score_month(b: Bound) -> DataFrame:
     train = b.measure("ca")
     fitted = model.fit_pooled_model(train, boosted())
-    scoring = features.next_month(months.month_slice(train, b.bounds.last_month), "y")
+    scoring = features.next_month(features.measure_frame(b.opening, "ca"), "y")
     return model.score_month(scoring, fitted).select("series_id", "month", "y_pred")
 
 
 def predict_all_measures(b: Bound) -> DataFrame:
     predictions = roll.predict_measures(
-        b.lagged, boosted(), b.bounds.last_month, b.scratch, retrain="once"
+        b.lagged,
+        boosted(),
+        b.bounds.last_month,
+        b.scratch,
+        retrain="once",
+        opening=b.opening,
     )
     named = [
         frame.select(F.lit(m).alias("measure"), "series_id", "month", "y_pred")

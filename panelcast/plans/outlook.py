@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelcast.operators.calendar import (
     Horizon,
@@ -29,12 +30,28 @@ from panelcast.sources.sinks import publish_partitions
 
 @dataclass(frozen=True)
 class Panel:
-    """Everything the predictors need; ``lagged`` is a written table of complete months."""
+    """Everything the predictors need; ``lagged`` is a written table of complete months and
+    ``opening`` its last month, stored apart."""
 
     catalog: Catalog
     calendar: DataFrame
     bounds: Horizon
     lagged: DataFrame
+    opening: DataFrame
+
+
+def store_lagged(
+    grid: DataFrame, last_month: int, scratch: Scratch, measures: Sequence[str], n_lags: int
+) -> tuple[DataFrame, DataFrame]:
+    """The grid with the lags of all measures, and the rows of its last month.
+
+    One write puts the last month into a partition of its own, so that what starts from it reads
+    one row per series and not the whole panel.
+    """
+    lagged = with_lags(grid, measures, n_lags + 1, prefixed=True)
+    marked = lagged.withColumn("is_last", F.col("month") == last_month)
+    stored = scratch.save(marked, "lagged", by=["is_last"])
+    return stored.drop("is_last"), stored.filter("is_last").drop("is_last")
 
 
 def build_panel(
@@ -58,8 +75,8 @@ def build_panel(
     bounds = read_horizon(calendar, as_of, horizon)
     catalog = Catalog.of(observed_members(sums, scratch) if dimensions is None else dimensions)
     grid = dense_grid(sums, catalog, calendar, bounds.current_month, measures)
-    lagged = scratch.save(with_lags(grid, measures, n_lags + 1, prefixed=True), "lagged")
-    return Panel(catalog, calendar, bounds, lagged)
+    lagged, opening = store_lagged(grid, bounds.last_month, scratch, measures, n_lags)
+    return Panel(catalog, calendar, bounds, lagged, opening)
 
 
 def run_outlook(
@@ -98,6 +115,7 @@ def outlook_of(
         bounds.steps,
         n_lags,
         retrain,
+        panel.opening,
     )
     whole = append_predictions(panel.lagged, predictions, bounds.last_month)
     shaped = split_actual_predicted(whole, bounds.last_month)

@@ -6,6 +6,7 @@ import atexit
 import itertools
 import shutil
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,10 @@ class Scratch:
         """A path not used before."""
         return f"{self.path}/{next(self._numbers):03d}-{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write ``frame`` once and return a scan of what was written."""
+    def save(self, frame: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        """Write ``frame`` once, partitioned ``by`` some columns, and return a scan of it."""
         path = self.folder(name)
-        frame.write.parquet(path)
+        frame.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def close(self) -> None:

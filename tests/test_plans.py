@@ -70,3 +70,9 @@ def test_scratch_follows_the_session(spark):
     root = checkpoint_root(spark)
     assert root == (before or spark.sparkContext.getCheckpointDir())
     assert Scratch(spark).path.startswith(root)
+
+
+def test_rolling_forward_reads_the_last_month_only(bound):
+    plan = plan_of(bound.rolled("ca"))
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(scans) == 1 and "is_last" in scans[0]
