@@ -118,18 +118,17 @@ def calendar_left_join(
 
 
 def grid_shape(grid: DataFrame) -> DataFrame:
-    """Series, months and cells of a grid, counted: one sum per month, then one over the months.
-
-    Series are counted by the partitioning that the grid has.
-    """
-    n_series = grid.groupBy("series_id").agg(F.count("*").alias("cells")).agg(
-        F.count("*").alias("n_series"), F.sum("cells").alias("n_cells")
+    """Series, months and cells of a grid, counted: one row per series and one per month, then
+    their sums."""
+    one, none, cells = F.lit(1), F.lit(0), F.count("*")
+    by_series = grid.groupBy("series_id").agg(
+        one.alias("series"), none.alias("months"), cells.alias("cells")
     )
-    n_months = grid.groupBy("month").agg(F.count("*").alias("cells")).agg(
-        F.count("*").alias("n_months")
+    by_month = grid.groupBy("month").agg(
+        none.alias("series"), one.alias("months"), none.cast("long").alias("cells")
     )
-    # One row on either side.
-    return n_series.crossJoin(F.broadcast(n_months)).select("n_series", "n_months", "n_cells")
+    counted = by_series.drop("series_id").unionByName(by_month.drop("month"))
+    return counted.agg(*[F.sum(c).alias(f"n_{c}") for c in ("series", "months", "cells")])
 
 
 def pivot_months(grid: DataFrame, measure: str, n_months: int) -> DataFrame:

@@ -15,6 +15,7 @@ def feature_assembler(n_lags: int = N_LAGS) -> VectorAssembler:
     return VectorAssembler(inputCols=feature_names(n_lags), outputCol="features")
 
 
+# The settings of the trees below (500, 0.03, 3, 510, 0.64).
 def pooled_gbt(
     n_trees: int = 500,
     learning_rate: float = 0.03,
