@@ -194,14 +194,10 @@ def _best_templates(
         .groupBy("term")
         .agg(F.sum("df").alias("df"))
     )
-    total = units.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))
-    idf = (
-        seen.crossJoin(F.broadcast(total))
-        .select(
-            "term",
-            (F.log((F.col("n") + len(templates) + 1) / (F.col("df") + 1)) + 1).alias("idf"),
-        )
-    )
+    total = units.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] + len(templates)
+    idf = seen.select(
+        "term", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    )
     weigh = F.col("tf") * F.col("idf")
     unit_weights = in_units.join(idf, "term").select("unit", "term", weigh.alias("w"))
     template_weights = idf.join(F.broadcast(in_templates), "term").select(
