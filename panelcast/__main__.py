@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from panelcast.operators.model import pooled_gbt
 from panelcast.plans.job import run_job
-from panelcast.schema import HORIZON, N_LAGS
+from panelcast.schema import HORIZON, MEASURES, N_LAGS
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--replace-from", default="current", choices=["current", "last"])
     parser.add_argument("--retrain", default="each_step", choices=["each_step", "once"])
     parser.add_argument("--trees", type=int, default=500)
+    parser.add_argument("--measures", nargs="+", default=list(MEASURES))
     parser.add_argument("--horizon", type=int, default=HORIZON)
     parser.add_argument("--lags", type=int, default=N_LAGS)
     parser.add_argument("--calendar", default="contiguous", choices=["observed", "contiguous"])
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> None:
         pooled_gbt(n_trees=options.trees, n_lags=options.lags),
         {name: value for name, value in given.items() if value is not None},
         options.single_file,
+        options.measures,
         horizon=options.horizon,
         n_lags=options.lags,
         calendar_mode=options.calendar,

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.schema import KEYS, MEASURES, PUBLISHED, PUBLISHED_LABELS
+from panelcast.schema import KEYS, MEASURES, PUBLISHED_LABELS
 
 CELL_KEYS = ("month", "period_end", *KEYS)
 
@@ -65,8 +65,9 @@ def publish_replace_slice(
     """
     kept = published.filter(F.col("period_end") < F.lit(replace_from))
     renewed = fresh.filter(F.col("period_end") >= F.lit(replace_from))
-    return kept.unionByName(renewed).select(*PUBLISHED.names)
+    return kept.unionByName(renewed).select(*published.columns)
 
 
 def with_file_labels(frame: DataFrame) -> DataFrame:
-    return frame.select(*[F.col(c).alias(label) for c, label in PUBLISHED_LABELS.items()])
+    """Columns under the labels of the exchanged file; others keep their name."""
+    return frame.select(*[F.col(c).alias(PUBLISHED_LABELS.get(c, c)) for c in frame.columns])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.ml import Estimator
 from pyspark.sql import SparkSession
 
 from panelcast.operators.calendar import Horizon
 from panelcast.plans.outlook import publish_outlook
+from panelcast.schema import MEASURES
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import export_csv
 from panelcast.sources.tables import read_dimensions, read_published
@@ -28,6 +30,7 @@ def run_job(
     estimator: Estimator | None = None,
     reader_options: dict[str, str] | None = None,
     single_file: bool = False,
+    measures: Sequence[str] = MEASURES,
     **options,
 ) -> Horizon | None:
     """Keep history, audit, published table and export under ``store``.
@@ -35,7 +38,7 @@ def run_job(
     By default every dropped file is the whole history and the newest one counts; otherwise
     files add to one another. As long as no file was ever dropped nothing is done.
     ``reader_options`` are those of ``read_history`` for the dropped files (``sep``, ``encoding``,
-    ``decimal``), ``single_file`` is that of the export, and ``options`` (``horizon``, ``n_lags``,
+    ``decimal``), ``measures`` the columns to project, ``single_file`` is that of the export, and ``options`` (``horizon``, ``n_lags``,
     ``calendar_mode``) are those of ``run_outlook``.
     """
     store = store.rstrip("/")
@@ -50,8 +53,11 @@ def run_job(
         fmt,
         newest_only=whole_history_per_file,
         reader_options=reader_options,
+        measures=measures,
+    )
+    history = read_ingested(
+        spark, history_path, audit_path if whole_history_per_file else None, measures
     )
-    history = read_ingested(spark, history_path, audit_path if whole_history_per_file else None)
     if history is None:
         return None
     scratch = Scratch(spark)
@@ -67,9 +73,10 @@ def run_job(
             as_of=as_of,
             retrain=retrain,
             estimator=estimator,
+            measures=measures,
             **options,
         )
     finally:
         scratch.close()
-    export_csv(read_published(spark, published_path), export_path, single_file)
+    export_csv(read_published(spark, published_path, measures), export_path, single_file)
     return bounds

@@ -23,7 +23,7 @@ from panelcast.operators.grid import dense_grid, monthly_sums
 from panelcast.operators.model import pooled_gbt
 from panelcast.operators.publish import append_predictions, split_actual_predicted
 from panelcast.operators.roll import predict_measures
-from panelcast.schema import HORIZON, MEASURES, N_LAGS, PUBLISHED
+from panelcast.schema import HORIZON, MEASURES, N_LAGS, published_schema
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import publish_partitions
 
@@ -89,12 +89,13 @@ def run_outlook(
     estimator: Estimator | None = None,
     retrain: str = "each_step",
     calendar_mode: str = "contiguous",
+    measures: Sequence[str] = MEASURES,
 ) -> tuple[DataFrame, Horizon]:
     """Actual months and ``horizon`` predicted ones for every series, in published columns."""
     panel = build_panel(
-        history, scratch, dimensions, as_of, horizon, n_lags, MEASURES, calendar_mode
+        history, scratch, dimensions, as_of, horizon, n_lags, measures, calendar_mode
     )
-    return outlook_of(panel, scratch, estimator, n_lags, retrain), panel.bounds
+    return outlook_of(panel, scratch, estimator, n_lags, retrain, measures), panel.bounds
 
 
 def outlook_of(
@@ -103,6 +104,7 @@ def outlook_of(
     estimator: Estimator | None = None,
     n_lags: int = N_LAGS,
     retrain: str = "each_step",
+    measures: Sequence[str] = MEASURES,
 ) -> DataFrame:
     """Predict all measures of a panel and shape the result."""
     bounds = panel.bounds
@@ -111,16 +113,17 @@ def outlook_of(
         pooled_gbt(n_lags=n_lags) if estimator is None else estimator,
         bounds.last_month,
         scratch,
-        MEASURES,
+        measures,
         bounds.steps,
         n_lags,
         retrain,
         panel.opening,
     )
     whole = append_predictions(panel.lagged, predictions, bounds.last_month)
-    shaped = split_actual_predicted(whole, bounds.last_month)
+    shaped = split_actual_predicted(whole, bounds.last_month, measures)
     spine = month_spine(panel.calendar, bounds)
-    return relabel_series(shaped, panel.catalog, spine).select(*PUBLISHED.names)
+    labelled = relabel_series(shaped, panel.catalog, spine)
+    return labelled.select(*published_schema(measures).names)
 
 
 def publish_outlook(

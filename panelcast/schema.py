@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 KEYS = ("bu", "ctt", "ope", "pthrough")
@@ -41,21 +43,31 @@ DIMENSION_LISTS = {
 
 AMOUNT = T.DecimalType(18, 4)
 
-HISTORY = T.StructType(
-    [T.StructField("periode", T.StringType())]
-    + [T.StructField(key, T.StringType()) for key in KEYS]
-    + [T.StructField(measure, AMOUNT) for measure in MEASURES]
-)
 
-PUBLISHED = T.StructType(
-    [T.StructField("month", T.IntegerType()), T.StructField("period_end", T.DateType())]
-    + [T.StructField(key, T.StringType()) for key in KEYS]
-    + [
-        T.StructField(name, T.DoubleType())
-        for measure in MEASURES
-        for name in (measure, f"{measure}_pred")
-    ]
-)
+def history_schema(measures: Sequence[str] = MEASURES) -> T.StructType:
+    """Facts: a period label, the business keys and the amounts."""
+    return T.StructType(
+        [T.StructField("periode", T.StringType())]
+        + [T.StructField(key, T.StringType()) for key in KEYS]
+        + [T.StructField(measure, AMOUNT) for measure in measures]
+    )
+
+
+def published_schema(measures: Sequence[str] = MEASURES) -> T.StructType:
+    """Months of the outlook: for each measure what was observed and what was predicted."""
+    return T.StructType(
+        [T.StructField("month", T.IntegerType()), T.StructField("period_end", T.DateType())]
+        + [T.StructField(key, T.StringType()) for key in KEYS]
+        + [
+            T.StructField(name, T.DoubleType())
+            for measure in measures
+            for name in (measure, f"{measure}_pred")
+        ]
+    )
+
+
+HISTORY = history_schema()
+PUBLISHED = published_schema()
 
 AUDIT = T.StructType(
     [

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.periods import month_end
 from panelcast.operators.publish import with_file_labels
-from panelcast.schema import PUBLISHED
 from panelcast.sources.folders import delete_folder, names_in
 
 PARTITION = "period_end"
@@ -45,8 +44,7 @@ def publish_partitions(
         first = min(replace_from, month_end(before[-1], 1))
         fresh = fresh.filter(F.col(PARTITION) >= F.lit(first))
     (
-        fresh.select(*PUBLISHED.names)
-        .hint("rebalance", PARTITION)
+        fresh.hint("rebalance", PARTITION)
         .write.partitionBy(PARTITION)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.catalog import dimension_members
-from panelcast.schema import DIMENSION_LISTS, HISTORY, HISTORY_LABELS, PUBLISHED
+from panelcast.schema import (
+    DIMENSION_LISTS,
+    HISTORY_LABELS,
+    MEASURES,
+    history_schema,
+    published_schema,
+)
 from panelcast.sources.scratch import Scratch
 
 
@@ -35,12 +41,19 @@ def rename_columns(frame: DataFrame, labels: dict[str, str]) -> DataFrame:
     return frame.select(*[F.col(f"`{old}`").alias(new) for old, new in labels.items()])
 
 
-def normalise_history(raw: DataFrame, decimal: str = ".") -> DataFrame:
-    """Seven columns with internal names and types; other columns of the file are not read.
+def normalise_history(
+    raw: DataFrame, decimal: str = ".", measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    """Period, keys and measures under internal names and types; other columns of the file are not
+    read.
 
     ``decimal`` is the mark that amounts written as text have.
     """
-    named = rename_columns(raw, HISTORY_LABELS) if "période" in raw.columns else raw
+    schema = history_schema(measures)
+    named = raw
+    if "période" in raw.columns:
+        label_of = {name: label for label, name in HISTORY_LABELS.items()}
+        named = rename_columns(raw, {label_of.get(name, name): name for name in schema.names})
     texts = {f.name for f in named.schema if isinstance(f.dataType, T.StringType)}
 
     def typed(field: T.StructField) -> Column:
@@ -49,11 +62,15 @@ def normalise_history(raw: DataFrame, decimal: str = ".") -> DataFrame:
             value = F.replace(value, F.lit(decimal), F.lit("."))
         return value.cast(field.dataType).alias(field.name)
 
-    return named.select(*[typed(f) for f in HISTORY.fields])
+    return named.select(*[typed(f) for f in schema.fields])
 
 
 def read_history(
-    spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", **options
+    spark: SparkSession,
+    path: str | Sequence[str],
+    fmt: str = "parquet",
+    measures: Sequence[str] = MEASURES,
+    **options,
 ) -> DataFrame:
     """Fact scan; accepts the labels of the exchanged file or the internal names.
 
@@ -61,7 +78,7 @@ def read_history(
     decimal comma.
     """
     decimal = options.pop("decimal", ".")
-    return normalise_history(scan(spark, path, fmt, options), decimal)
+    return normalise_history(scan(spark, path, fmt, options), decimal, measures)
 
 
 def read_dimensions(
@@ -102,5 +119,8 @@ def read_if_present(spark: SparkSession, schema: T.StructType, path: str) -> Dat
         raise
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PUBLISHED).parquet(path).select(*PUBLISHED.names)
+def read_published(
+    spark: SparkSession, path: str, measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    schema = published_schema(measures)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.schema import AUDIT, HISTORY
+from panelcast.schema import AUDIT, MEASURES, history_schema
 from panelcast.sources.tables import read_history, read_if_present, scan
 
 # The stream forgets nothing it has seen, so a file's age is no reason to pass it over.
@@ -38,7 +39,11 @@ def _literal(path: str) -> str:
 
 
 def _read_by_header(
-    spark: SparkSession, paths: list[str], fmt: str, options: dict[str, str]
+    spark: SparkSession,
+    paths: list[str],
+    fmt: str,
+    measures: Sequence[str],
+    options: dict[str, str],
 ) -> DataFrame:
     """Files read by column name, each by its own header.
 
@@ -56,7 +61,7 @@ def _read_by_header(
     alike: dict[tuple[str, ...], list[str]] = {}
     for path, columns in zip(paths, headers):
         alike.setdefault(columns, []).append(path)
-    parts = [read_history(spark, group, fmt, **options) for group in alike.values()]
+    parts = [read_history(spark, group, fmt, measures, **options) for group in alike.values()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,6 +75,7 @@ def ingest_drop(
     max_files: int = 1000,
     newest_only: bool = False,
     reader_options: dict[str, str] | None = None,
+    measures: Sequence[str] = MEASURES,
 ) -> None:
     """Take up everything new in ``drop_dir`` and return; without new files nothing happens.
 
@@ -104,7 +110,7 @@ def ingest_drop(
         if files:
             read = files[-1:] if newest_only else files
             paths = [_literal(file["file_path"]) for file in read]
-            facts = _read_by_header(batch.sparkSession, paths, fmt, options)
+            facts = _read_by_header(batch.sparkSession, paths, fmt, measures, options)
             _append_once(facts, batch_id, history_path)
             _append_once(batch, batch_id, audit_path)
 
@@ -118,14 +124,18 @@ def ingest_drop(
 
 
 def read_ingested(
-    spark: SparkSession, history_path: str, audit_path: str | None = None
+    spark: SparkSession,
+    history_path: str,
+    audit_path: str | None = None,
+    measures: Sequence[str] = MEASURES,
 ) -> DataFrame | None:
     """All facts taken up so far; with the audit table, only those of its newest batch.
 
     The latter suits files that each hold the whole history, taken up with ``newest_only``.
     Before the first file there is nothing to read: the result is None.
     """
-    stored = T.StructType([*HISTORY.fields, T.StructField("batch_id", T.LongType())])
+    facts = history_schema(measures)
+    stored = T.StructType([*facts.fields, T.StructField("batch_id", T.LongType())])
     history = read_if_present(spark, stored, history_path)
     if history is None:
         return None
@@ -133,7 +143,7 @@ def read_ingested(
         audit = spark.read.schema(AUDIT).parquet(audit_path)
         newest = audit.agg(F.max("batch_id")).first()[0]
         history = history.filter(F.col("batch_id") == newest)
-    return history.select(*HISTORY.names)
+    return history.select(*facts.names)
 
 
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:

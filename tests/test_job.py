@@ -73,3 +73,24 @@ def test_newest_file_or_all(spark, tmp_path):
     ingest_drop(spark, str(tmp_path / "drop"), *paths, fmt="csv", max_files=1)
     assert read_ingested(spark, paths[0]).count() == 3
     assert read_ingested(spark, paths[0], paths[1]).count() == 2
+
+
+def test_three_measures_in_another_notation(spark, tmp_path):
+    header = ";".join([*HISTORY_LABELS, "units"])
+    facts = [f"{month(i)};A;c;o;p;{100 + i},5;{10 + i},25;{i}" for i in range(15)]
+    put(tmp_path / "drop", "all.csv", header, *facts)
+    store = tmp_path / "store"
+    main(
+        [
+            str(tmp_path / "drop"), str(store), "--as-of", "2021-04-02", "--trees", "2",
+            "--retrain", "once", "--sep", ";", "--decimal", ",", "--single-file",
+            "--measures", "ca", "mg", "units", "--horizon", "2", "--lags", "3",
+        ]
+    )
+    measures = ["ca", "mg", "units"]
+    rows = read_published(spark, str(store / "published"), measures).orderBy("month").collect()
+    assert [(r.ca, r.mg, r.units) for r in rows[:2]] == [(100.5, 10.25, 0.0), (101.5, 11.25, 1.0)]
+    assert len(rows) == 15 + 2 and all(r.units_pred is not None for r in rows[15:])
+    (part,) = glob.glob(str(store / "export" / "part-*.csv"))
+    with open(part, encoding="utf-8") as file:
+        assert next(csv.reader(file)) == [*PUBLISHED_LABELS.values(), "units", "units_pred"]
