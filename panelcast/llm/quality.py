@@ -217,7 +217,15 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFr
     """
     verdict = judge(docs, rules, text)
     judged = verdict.columns[-1]
-    kept = verdict.filter(F.col(f"{judged}.kept")).withColumn(text, F.col(f"{judged}.cleaned"))
+    # A row number in the condition keeps the optimizer from moving the filter below the measures,
+    # where each of them would be computed once more for every mention.
+    row = fresh_name(verdict, "row_")
+    kept = (
+        verdict.withColumn(row, F.monotonically_increasing_id())
+        .filter(F.col(f"{judged}.kept") & (F.col(row) >= 0))
+        .drop(row)
+        .withColumn(text, F.col(f"{judged}.cleaned"))
+    )
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return kept.drop(judged)
