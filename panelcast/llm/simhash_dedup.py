@@ -174,18 +174,19 @@ def near_groups(
         ),
         "fingerprints",
     )
-    return _grouped(rows, scratch, most_bits)
+    rooted = _rooted(rows, scratch, most_bits)
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = rooted.join(groups, "root").select("fp", "component_id")
+    return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def _grouped(rows: DataFrame, scratch: Scratch, most_bits: int) -> DataFrame:
+def _rooted(rows: DataFrame, scratch: Scratch, most_bits: int) -> DataFrame:
+    """``(fp, least, root)``, a row for each fingerprint: its smallest id and its component."""
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = component_roots(near_links(classes, most_bits), scratch)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(groups, "root").select("fp", "component_id")
-    return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(
@@ -198,7 +199,10 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each group, the one with the smallest id, in the columns of ``docs``.
 
-    Repeated rows are copies of one another: one of them stays.
+    A group is what links connect, whatever its ids: groups without any id, or with the same
+    smallest id (an id repeated with unlike texts), keep a document each. Null ids come last; of
+    equal ids in a group the one with the smallest fingerprint stays. Repeated rows are copies of
+    one another: one of them stays.
     """
     fp = fresh_name(docs, "fp")
     marked = scratch.save(
@@ -206,11 +210,10 @@ def drop_near_copies(
     )
     rows = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
     first = (
-        _grouped(rows, scratch, most_bits)
-        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id")
-        .agg(F.min("fp").alias("first_fp"))
-        .withColumnRenamed("component_id", "first_id")
+        _rooted(rows, scratch, most_bits)
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("first"))
+        .select(F.col("first.least").alias("first_id"), F.col("first.fp").alias("first_fp"))
     )
     same = (F.col(fp) == F.col("first_fp")) & F.col(doc_id).eqNullSafe(F.col("first_id"))
     return marked.join(first, same, "left_semi").dropDuplicates([doc_id, fp]).drop(fp)

@@ -91,6 +91,22 @@ def test_one_of_each_group_stays(edge_docs, no_docs, scratch):
     assert drop_near_copies(no_docs, scratch).count() == 0
 
 
+def test_groups_with_the_same_or_no_id_keep_a_document_each(spark, scratch):
+    texts = [
+        "a quick brown fox jumps over the lazy dog",
+        "rain fell on the quiet harbour all through the night",
+        "seven tall ships sailed west before the winter storms came",
+        "the library opens at nine and closes late on fridays",
+        "bread rises slowly in a cold kitchen near the window",
+    ]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2])]
+    rows += [(7, texts[3]), (7, texts[4]), (8, texts[4]), (9, texts[0])]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
+    assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == sorted(
+        zip(texts, [9, None, None, 7, 7])
+    )
+
+
 def test_a_chain_is_one_component(spark, scratch):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000), (5, 4), (1001, 1002)]
     roots = component_roots(spark.createDataFrame(edges, "u long, v long"), scratch)
