@@ -50,9 +50,15 @@ ENDED_BY = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
 
+# A quote opens a value only as its first character, and only if it is closed somewhere; any other
+# quote is a character of a name or of an unquoted value, and the next '>' ends the tag.
+ONE_ATTRIBUTE = (
+    r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+    r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+"
+)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[\s/]++|{ONE_ATTRIBUTE})*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )

@@ -38,6 +38,31 @@ def test_cases(html, text):
     assert main_text(html) == text
 
 
+STRAY_QUOTES = [
+    (
+        '<p><a href="/x"">link</a> First text.</p><p class="y">Second text.</p><p class="z">Third.</p>',
+        "link First text.\n\nSecond text.\n\nThird.",
+    ),
+    ("<p title=it's>Body text, don't stop.</p>", "Body text, don't stop."),
+    ('<p "x>One.</p><p title="a > b">Two.</p>', "One.\n\nTwo."),
+    ('<p data-q=a="b>One.</p><p title = \'a > "b\'>Two.</p>', "One.\n\nTwo."),
+    ('<p title=">One, never closed.</p>', "One, never closed."),
+    ("<p ='x>One.</p ' ><p title=>Don't.</p>", "One.\n\nDon't."),
+]
+
+
+@pytest.mark.parametrize("html, text", STRAY_QUOTES)
+def test_stray_quotes_swallow_no_text(html, text):
+    assert main_text(f"<article>{html}</article>") == text
+
+
+@pytest.mark.parametrize("part", ["<a =\"", "<a x='", "= ", "<a x = ", "<p x=\"' "])
+def test_hostile_attributes_take_linear_time(part):
+    start = time.process_time()
+    main_text("<p " + part * 40_000)
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize(
     "html",
     [
