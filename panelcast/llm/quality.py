@@ -30,7 +30,32 @@ BOILERPLATE = [
     "terms of service",
     "terms of use",
 ]
+# The sentence marks that the SQL counts; those of its languages.
 SENTENCE_MARKS = ".!?…:;。"
+# Unicode's property Sentence_Terminal, which Java's patterns do not name, and colons and semicolons
+# of other scripts.
+TERMINATORS = (
+    r".!?\x{589}\x{61D}-\x{61F}\x{6D4}\x{700}-\x{702}\x{7F9}\x{837}\x{839}\x{83D}\x{83E}\x{964}\x{965}"
+    r"\x{104A}\x{104B}\x{1362}\x{1367}\x{1368}\x{166E}\x{1735}\x{1736}\x{17D4}\x{17D5}\x{1803}\x{1809}"
+    r"\x{1944}\x{1945}\x{1AA8}-\x{1AAB}\x{1B4E}\x{1B4F}\x{1B5A}\x{1B5B}\x{1B5E}\x{1B5F}\x{1B7D}-\x{1B7F}"
+    r"\x{1C3B}\x{1C3C}\x{1C7E}\x{1C7F}\x{2024}\x{203C}\x{203D}\x{2047}-\x{2049}\x{2CF9}-\x{2CFB}\x{2E2E}"
+    r"\x{2E3C}\x{2E53}\x{2E54}\x{3002}\x{A4FF}\x{A60E}\x{A60F}\x{A6F3}\x{A6F7}\x{A876}\x{A877}\x{A8CE}"
+    r"\x{A8CF}\x{A92F}\x{A9C8}\x{A9C9}\x{AA5D}-\x{AA5F}\x{AAF0}\x{AAF1}\x{ABEB}\x{FE12}\x{FE15}\x{FE16}"
+    r"\x{FE52}\x{FE56}\x{FE57}\x{FF01}\x{FF0E}\x{FF1F}\x{FF61}\x{10A56}\x{10A57}\x{10F55}-\x{10F59}"
+    r"\x{10F86}-\x{10F89}\x{11047}\x{11048}\x{110BE}-\x{110C1}\x{11141}-\x{11143}\x{111C5}\x{111C6}"
+    r"\x{111CD}\x{111DE}\x{111DF}\x{11238}\x{11239}\x{1123B}\x{1123C}\x{112A9}\x{113D4}\x{113D5}\x{1144B}"
+    r"\x{1144C}\x{115C2}\x{115C3}\x{115C9}-\x{115D7}\x{11641}\x{11642}\x{1173C}-\x{1173E}\x{11944}\x{11946}"
+    r"\x{11A42}\x{11A43}\x{11A9B}\x{11A9C}\x{11C41}\x{11C42}\x{11EF7}\x{11EF8}\x{11F43}\x{11F44}\x{16A6E}"
+    r"\x{16A6F}\x{16AF5}\x{16B37}\x{16B38}\x{16B44}\x{16D6E}\x{16D6F}\x{16E98}\x{1BC9F}\x{1DA88}"
+    r"…:;\x{37E}\x{387}\x{61B}\x{FF1A}\x{FF1B}"
+)
+# Commas and dashes of all scripts.
+CLAUSE_MARKS = (
+    r",\x{55D}\x{60C}\x{7F8}\x{1363}-\x{1366}\x{1802}\x{1808}\x{2013}-\x{2015}\x{3001}\x{A4FE}\x{A60D}"
+    r"\x{FE10}\x{FE11}\x{FE50}\x{FE51}\x{FF0C}\x{FF64}"
+)
+# Separators of menus beside the bar; a slash only as a word, a middle dot not inside a word.
+SEPARATORS = r"[»›→▸▶❯•‣∙⋅]|(?<!\p{L})·|·(?!\p{L})|(?<!\S)/(?!\S)"
 
 
 @dataclass(frozen=True)
@@ -40,9 +65,10 @@ class Rules:
     ``symbol_percent``: share of symbols in a line's word characters; ``shout_percent``: double
     exclamation marks per word; ``bars`` and ``bar_percent``: separators of a navigation line, at
     least so many and per word; ``furniture_words``: longest line that a boilerplate phrase fails;
-    ``unmarked_words``: shortest line that fails without any sentence mark; ``lost_percent``: most
-    word characters a document may lose with its failing lines; ``least_words`` and
-    ``repeat_percent``: the base rules.
+    ``unmarked_words``: shortest line that can fail for the want of a sentence mark, which it does
+    if it has no clause mark either, or fewer than ``distinct_percent`` of its words are distinct;
+    ``lost_percent``: most word characters a document may lose with its failing lines;
+    ``least_words`` and ``repeat_percent``: the base rules.
     """
 
     symbol_percent: int = 10
@@ -54,24 +80,41 @@ class Rules:
     lost_percent: int = 30
     least_words: int = 20
     repeat_percent: int = 30
+    distinct_percent: int = 50
 
 
 WINDOW = 8
 
 
-def _line_fails(line: Column, n: Column, chars: Column, symbols: Column, rules: Rules) -> Column:
+def _line_fails(
+    line: Column, n: Column, chars: Column, symbols: Column, hashes: Column, rules: Rules
+) -> Column:
     """The cheap test of each rule comes first and spares most lines the counting."""
     bars = count_of(line, "|")
+    # Closing guillemets are no separators.
+    separators = bars + F.regexp_count(line, F.lit(SEPARATORS)) - count_of(line, "«‹")
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     punctuation = (
         (symbols * 100 > chars * rules.symbol_percent)
         | (F.contains(line, F.lit("!!")) & (shouts >= 2) & (shouts * 100 > n * rules.shout_percent))
-        | ((n >= rules.unmarked_words) & ~F.rlike(line, F.lit(f"[{SENTENCE_MARKS}]")))
+        | (
+            (n >= rules.unmarked_words)
+            & ~F.rlike(line, F.lit(f"[{TERMINATORS}]"))
+            & (
+                ~F.rlike(line, F.lit(f"[{CLAUSE_MARKS}]"))
+                | (F.size(F.array_distinct(hashes)) * 100 < n * rules.distinct_percent)
+            )
+        )
     )
     navigation = (
         F.contains(line, F.lit("|"))
         & (bars >= rules.bars)
         & (bars * 100 > n * rules.bar_percent)
+    ) | (
+        F.rlike(line, F.lit(SEPARATORS))
+        & F.rlike(line, F.lit(r"\p{L}{2}"))
+        & (separators >= rules.bars)
+        & (separators * 100 > n * rules.bar_percent)
     )
 
     def has_phrase(lowered: Column) -> Column:
@@ -130,7 +173,9 @@ def _line_measures(line: Column, rules: Rules) -> Column:
             m["hashes"].alias("hashes"),
             m["chars"].alias("chars"),
             m["symbols"].alias("symbols"),
-            _line_fails(line, m["n"], m["chars"], m["symbols"], rules).alias("fails"),
+            _line_fails(line, m["n"], m["chars"], m["symbols"], m["hashes"], rules).alias(
+                "fails"
+            ),
         ),
     )
 

@@ -58,6 +58,28 @@ def test_lines_that_fail(spark):
     assert [r["n_failed_lines"] for r in judged(spark, lines)] == [0, 1, 1, 1, 1, 1, 0, 0]
 
 
+def test_long_lines_of_other_scripts_and_verse_stay(spark):
+    def line(word, end, comma=""):
+        return " ".join(f"{word}{i}{comma if i % 9 == 8 else ''}" for i in range(40)) + end
+
+    lines = [line("शब्द", "।"), line("শব্দ", "।"), line("لفظ", "۔"), line("لفظ", "؟")]
+    lines += [line("文字", "！"), line("文字", "？"), line("ቃል", "።"), line("verse", "", ",")]
+    lines += [line("لفظ", "", "،"), " ".join(["again, and"] * 20), line("unmarked", "")]
+    assert [r["n_failed_lines"] for r in judged(spark, lines)] == [0] * 9 + [1, 1]
+    rows = judged(spark, [x + "\n" + line("other", "।") for x in lines[:9]])
+    assert all(r["kept"] for r in rows)
+
+
+def test_menus_by_their_separators(spark):
+    names = ["Home", "News", "Sport", "Contact", "Imprint"]
+    lines = [f" {mark} ".join(names) for mark in "»›·/•→|"] + ["• Home • News • Sport"]
+    prose = ["« Oui » , « Non » , « Peut » et « Rien »", "paral·lel col·legi il·lusió", "a · b · c · d"]
+    prose += ["read and/or write, yes/no, in/out, on/off", "»Ja« und »Nein« und »Doch« und »Nie«"]
+    prose += ["• one bullet before a line of words"]
+    found = [r["n_failed_lines"] for r in judged(spark, lines + prose)]
+    assert found == [1] * len(lines) + [0] * len(prose)
+
+
 def test_document_that_loses_too_much_goes(spark):
     junk = "Home | News | Sport | Contact | Imprint | Search\n"
     docs = spark.createDataFrame(
