@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.text import fresh_name, whole
@@ -23,10 +26,11 @@ KINDS = ["email", "ip", "card", "phone"]
 class Selection:
     """How the trees are fitted and what they may add.
 
-    ``most_labelled`` bounds the labelled candidates of the fit (taken by a hash, whatever the
-    size of the corpus); ``least_labelled`` is the number of each class below which nothing is
-    learned and nothing added; ``precision`` is what the threshold must reach on the held-out
-    fifth, and ``least_score`` the lowest threshold.
+    The labels are made by rule (``pii_labels``) and never taken from the corpus, so a text gets the
+    same spans in any company. ``most_labelled`` bounds the labelled candidates of the fit;
+    ``least_labelled`` is the number of each class that a kind must have among them, or else nothing of
+    it is added; ``precision`` is what the threshold of each kind must reach on the held-out fifth,
+    and ``least_score`` the lowest threshold.
     """
 
     most_labelled: int = 20_000
@@ -62,12 +66,15 @@ KEYWORDS = {
     "phone": ("phone", "tel", "call", "fax", "mobile"),
 }
 SYMBOLS = frozenset("#*$%&|<>")
+MORE_BEFORE = re.compile(r"[0-9][\x20().,/_-]{1,3}\Z")
+MORE_AFTER = re.compile(r"[\x20().,/_-]{1,3}[0-9]")
+COMMON_HOST = re.compile(r"(?i)\sat\s+(?:the|a|an|this|that|our|his|her|its|my|home)\b")
 CONTEXT = 30
 
 SPAN = "struct<kind:int,start:int,stop:int>"
 FOUND = (
     f"base array<{SPAN}>, "
-    "candidates array<struct<kind:int,start:int,stop:int,label:int,features:array<double>>>"
+    "candidates array<struct<kind:int,start:int,stop:int,features:array<double>>>"
 )
 
 
@@ -152,24 +159,46 @@ def features(text: str, kind: int, start: int, stop: int) -> list[float]:
         float(left in SYMBOLS or right in SYMBOLS),
         float(any(w in before for w in KEYWORDS[KINDS[kind]])),
         float(sum("0" <= c <= "9" for c in before)),
+        float(kind == 1 and _is_ipv6(value)),
+        float(bool(MORE_BEFORE.search(text[max(0, start - 4) : start]))),
+        float(bool(MORE_AFTER.match(text[stop : stop + 4]))),
+        float(kind == 0 and any(c in value for c in "([{<")),
+        float(kind == 0 and bool(re.search(r"(?i)\Wdot\W", value))),
+        float(kind == 0 and bool(COMMON_HOST.search(value))),
+        float(kind == 0 and bool(re.search(r"(?i)\Wdot\W", value)) and not COMMON_HOST.search(value)),
+        float(value[:1] == "0"),
+        float(value[:1] in "12"),
+        *[float(r) for r in (runs + [0] * 5)[:5]],
+        *[float(value.count(c)) for c in " .-/_("],
     ]
 
 
+def _is_ipv6(value: str) -> bool:
+    try:
+        return ipaddress.ip_address(value).version == 6
+    except ValueError:
+        return False
+
+
 def look_through(text: str) -> tuple[list[tuple], list[tuple]]:
-    """Base spans of a whole text, and candidates with what is known of them: 1 for base spans, 0
-    for matches that fail, None for the wider ones, which may overlap one another."""
+    """Base spans of a whole text, and the wider candidates, which overlap no base span but may
+    overlap one another."""
     base, candidates = [], []
-    if "@" not in text and not re.search("[0-9]", text):
+    if not re.search("[0-9@:]|(?i:at)", text):
         return base, candidates
-    for kind, start, stop, passes in matches(text):
-        if passes:
-            base.append((kind, start, stop))
-        candidates.append((kind, start, stop, int(passes), features(text, kind, start, stop)))
-    taken = sorted((s, e) for _, s, e in base)
+    base = sorted((kind, start, stop) for kind, start, stop, passes in matches(text) if passes)
+    merged: list[list[int]] = []
+    for start, stop in sorted((s, e) for _, s, e in base):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(stop, merged[-1][1])
+        else:
+            merged.append([start, stop])
+    starts = [s for s, _ in merged]
     for kind, start, stop in wide_matches(text):
-        if not any(s < stop and start < e for s, e in taken):
-            candidates.append((kind, start, stop, None, features(text, kind, start, stop)))
-    return sorted(base), candidates
+        before = bisect_left(starts, stop) - 1
+        if before < 0 or merged[before][1] <= start:
+            candidates.append((kind, start, stop, features(text, kind, start, stop)))
+    return base, candidates
 
 
 def find_candidates(text: Column) -> Column:
@@ -180,35 +209,83 @@ def find_candidates(text: Column) -> Column:
     return F.pandas_udf(find, FOUND)(whole(text))
 
 
-def _fit(labelled: DataFrame, options: Selection) -> tuple[Model, float] | None:
-    """The trees and their threshold, from the labelled candidates; None if there are too few."""
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < options.least_labelled:
-        return None
-    share = min(1.0, options.most_labelled / sum(counts.values()))
-    unit = F.pmod(F.xxhash64("uid", "start", "kind"), F.lit(1_000_000)) / 1_000_000
-    rows = labelled.withColumn("unit", unit).filter(F.col("unit") < share)
-    rows = rows.select(
-        F.col("label").cast("double").alias("label"),
-        array_to_vector("features").alias("vector"),
-        (F.col("unit") < share / 5).alias("held"),
-    )
-    trees = GBTClassifier(
-        featuresCol="vector", maxIter=options.trees, maxDepth=options.depth, seed=7
-    )
-    model = trees.fit(rows.filter(~F.col("held")).coalesce(4))
-    # At most a fifth of the bounded sample.
-    scored = model.transform(rows.filter("held")).select(
-        vector_to_array("probability")[1].alias("p"), "label"
-    )
+@lru_cache(maxsize=1)
+def _labelled() -> list[tuple[int, int, float, list[float]]]:
+    """``(uid, kind, label, features)`` of the candidates in the labelled texts."""
+    from panelcast.llm.pii_labels import labelled_texts
+
+    rows = []
+    for text, span in labelled_texts():
+        for kind, start, stop, values in look_through(text)[1]:
+            rows.append((len(rows), kind, float((kind, start, stop) == span), values))
+    return rows
+
+
+_FITTED: dict[tuple[str, Selection], dict[int, tuple[Model, float]]] = {}
+
+
+def _fit(spark: SparkSession, options: Selection) -> dict[int, tuple[Model, float]]:
+    """The trees of each kind and their threshold; a kind with too few labels has none.
+
+    Both classes weigh the same in the fit; the threshold is found on the labels as they are. As the
+    labels are fixed, an application fits once for the same options.
+    """
+    key = spark.sparkContext.applicationId, options
+    if key in _FITTED:
+        return _FITTED[key]
+    given = _labelled()
+    share = min(1.0, options.most_labelled / len(given))
+    unit = F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) / 1_000_000
+    fitted = {}
+    for kind, name in enumerate(KINDS):
+        of_kind = [r for r in given if r[1] == kind]
+        right = sum(r[2] == 1.0 for r in of_kind)
+        wrong = len(of_kind) - right
+        if min(right, wrong) < max(1, options.least_labelled):
+            continue
+        rows = (
+            spark.createDataFrame(
+                of_kind, "uid long, kind int, label double, features array<double>"
+            )
+            .withColumn("unit", unit)
+            .filter(F.col("unit") < share)
+            .select(
+                "label",
+                F.when(F.col("label") == 1.0, wrong / right).otherwise(1.0).alias("weight"),
+                array_to_vector("features").alias("vector"),
+                (F.col("unit") < share / 5).alias("held"),
+            )
+            .coalesce(1)
+        )
+        trees = GBTClassifier(
+            featuresCol="vector",
+            weightCol="weight",
+            maxIter=options.trees,
+            maxDepth=options.depth,
+            seed=7,
+        )
+        model = trees.fit(rows.filter(~F.col("held")))
+        scored = model.transform(rows.filter("held")).select(
+            vector_to_array("probability")[1].alias("p"), "label"
+        )
+        ranked = sorted(((r["p"], r["label"]) for r in scored.collect()), key=lambda r: -r[0])
+        for output in ("prediction", "rawPrediction", "probability"):
+            model = model.copy({model.getParam(f"{output}Col"): f"{output}_{name}"})
+        fitted[kind] = model, _threshold(ranked, options)
+    _FITTED.clear()
+    _FITTED[key] = fitted
+    return fitted
+
+
+def _threshold(ranked: list[tuple[float, float]], options: Selection) -> float:
+    """The lowest score down to which the held-out labels reach the precision."""
     threshold, right = 1.0, 0.0
-    ranked = sorted(scored.collect(), key=lambda r: -r["p"])
-    for i, row in enumerate(ranked):
-        right += row["label"]
-        last_of_ties = i + 1 == len(ranked) or ranked[i + 1]["p"] < row["p"]
+    for i, (p, label) in enumerate(ranked):
+        right += label
+        last_of_ties = i + 1 == len(ranked) or ranked[i + 1][0] < p
         if last_of_ties and right / (i + 1) >= options.precision:
-            threshold = row["p"]
-    return model, max(threshold, options.least_score)
+            threshold = p
+    return max(threshold, options.least_score)
 
 
 def _choose(spans: Column) -> Column:
@@ -245,7 +322,7 @@ def find_spans(
 
     Both are arrays of ``(kind, start, stop)`` in code points, stop exclusive, ``kind`` a place in
     ``KINDS``. A null or empty text has none; repeated rows are treated alike; an empty table gives
-    no rows and fits nothing. Texts are read in one pass, which also proposes the candidates; what
+    no rows. Texts are read in one pass, which also proposes the candidates; what
     the trees score are rows of a few numbers. Base spans are never dropped, and an added span never
     overlaps one. Without ``keep_text`` the text is left out of the result and of what is stored.
     """
@@ -258,17 +335,21 @@ def find_spans(
     each = marked.select(
         F.col(uid).alias("uid"), F.explode(f"{found}.candidates").alias("c")
     ).select("uid", "c.*")
-    fitted = _fit(each.filter("label IS NOT NULL"), options)
+    fitted = _fit(docs.sparkSession, options)
     none = F.array().cast(f"array<{SPAN}>")
     with_base = marked.withColumn(base, F.col(f"{found}.base")).drop(found)
-    if fitted is None:
+    if not fitted:
         return with_base.withColumn(added, none).drop(uid), base, added
-    model, threshold = fitted
+    each = each.withColumn("vector", array_to_vector("features"))
+    score, threshold = F.lit(0.0), F.lit(1.0)
+    for kind, (model, least) in fitted.items():
+        each = model.transform(each)
+        of_kind = F.col("kind") == kind
+        p = vector_to_array(f"probability_{KINDS[kind]}")[1]
+        score = F.when(of_kind, p).otherwise(score)
+        threshold = F.when(of_kind, F.lit(least)).otherwise(threshold)
     scored = (
-        model.transform(
-            each.filter("label IS NULL").withColumn("vector", array_to_vector("features"))
-        )
-        .withColumn("p", vector_to_array("probability")[1])
+        each.withColumn("p", score)
         .filter(F.col("p") >= threshold)
         .groupBy("uid")
         .agg(F.collect_list(F.struct("kind", "start", "stop", "p")).alias("spans"))

@@ -80,6 +80,14 @@ def test_too_few_labels_add_nothing(corpus, scratch):
     assert spanned.filter(F.size(added) > 0).count() == 0
 
 
+def test_a_text_gets_the_same_spans_in_any_corpus(spark, corpus, scratch):
+    alone = spark.createDataFrame([(1000, "call (415) 555-2671 now")], "doc_id long, text string")
+    spanned, _, added = find_spans(alone, scratch)
+    assert [r["more"] for r in spanned.select(as_text(F.col(added)).alias("more")).collect()] == [
+        "phone:5:19"
+    ]
+
+
 def test_redacted(corpus, scratch):
     rows = {r["doc_id"]: r["text"] for r in redact(corpus, scratch).collect()}
     assert rows[0] == "call [PHONE] now" and rows[1000] == "call [PHONE] now"
