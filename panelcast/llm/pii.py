@@ -47,18 +47,18 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Wider patterns of the candidates beyond the base ones.
-WIDE = {
-    "email": re.compile(
-        r"[A-Za-z0-9._%+-]{1,64}\s?[(\[{]at[)\]}]\s?[A-Za-z0-9-]+"
-        r"(?:\s?(?:\.|[(\[{]dot[)\]}])\s?[A-Za-z0-9-]+)+"
-    ),
-    "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])"),
-    "phone": re.compile(
-        r"(?<![0-9+])(?:\([0-9]{2,5}\)\s?|0[0-9]{1,4}[ ./-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"
-    ),
-}
+# What the wider candidates are made of: at signs in words, hosts, groups of hexadecimal digits,
+# and runs of groups of digits.
+WORDED_AT = re.compile(r"(?i)\s{0,3}[(\[{<]\s?at\s?[)\]}>]\s{0,3}|\s{1,3}at\s{1,3}")
+HOST = re.compile(
+    r"(?i)[a-z0-9-]{1,63}(?:(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63})+"
+)
+HEX_GROUPS = re.compile(
+    r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?=:))?(?::{1,2}[0-9A-Fa-f]{1,4}){0,8}(?:::)?(?![0-9A-Za-z:])"
+)
+DIGIT_RUN = re.compile(r"[0-9]++(?:[\x20().\-/_]{1,3}[0-9]++)*+")
+DIGITS = re.compile(r"[0-9]+")
+MOST_GROUPS = 6
 KEYWORDS = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -122,13 +122,40 @@ def matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def wide_matches(text: str) -> Iterator[tuple[int, int, int]]:
-    for kind, name in enumerate(KINDS):
-        if name == "email" and "at)" not in text and "at]" not in text and "at}" not in text:
-            continue
-        if name == "ip" and text.count(":") < 7:
+    """Whatever could be one of the kinds; the trees choose.
+
+    Worded at signs in any case between a name and a host, hexadecimal groups with a double colon or
+    eight in number, and in runs of digits with the usual separators every sequence of at most
+    ``MOST_GROUPS`` groups with 7 to 19 digits, so that a number is found beside another one.
+    """
+    for at in WORDED_AT.finditer(text):
+        start = at.start()
+        while start > max(0, at.start() - 64) and text[start - 1] in LOCAL:
+            start -= 1
+        host = HOST.match(text, at.end())
+        if start < at.start() and host:
+            yield 0, start, host.end()
+    if "::" in text or text.count(":") >= 7:
+        for found in HEX_GROUPS.finditer(text):
+            if "::" in found[0] and len(found[0]) > 2 or found[0].count(":") == 7:
+                yield 1, found.start(), found.end()
+    for run in DIGIT_RUN.finditer(text):
+        if run.end() - run.start() < 7:
             continue
-        for found in WIDE[name].finditer(text):
-            yield kind, found.start(), found.end()
+        groups = [(g.start(), g.end()) for g in DIGITS.finditer(text, run.start(), run.end())]
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for j, (first, stop) in enumerate(groups[i : i + MOST_GROUPS]):
+                n += stop - first
+                if n > 19:
+                    break
+                if n < 7:
+                    continue
+                opened = start > 0 and text[start - 1] == "(" and ")" in text[start:stop]
+                if n <= 15:
+                    yield 3, start - opened, stop
+                if n >= 13 and j:
+                    yield 2, start, stop
 
 
 def features(text: str, kind: int, start: int, stop: int) -> list[float]:

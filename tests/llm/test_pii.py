@@ -88,6 +88,25 @@ def test_a_text_gets_the_same_spans_in_any_corpus(spark, corpus, scratch):
     ]
 
 
+def test_wide_forms_are_found_and_numbers_are_not(spark, scratch):
+    found = {
+        "call us: 415-555-2671 today": "phone:9:21",
+        "phone 415.555.2671 or write": "phone:6:18",
+        "call 1-800-555-0199, free": "phone:5:19",
+        "server 2001:db8::1 is up": "ip:7:18",
+        "write to me at host dot com, please": "email:9:27",
+        "mail info ( at ) firma.de now": "email:5:25",
+        "contact: Anna[AT]example[DOT]org": "email:9:32",
+        "card 4111.1111.1111.1111 was paid": "card:5:24",
+    }
+    none = ["on 2020-01-15 it", "from 1990-1995 on", "version 4.15.300.7 of", "at 12:30:45 sharp"]
+    none += ["he looked at example.com and", "std::vector and a::b", "id 00:1a:2b:3c:4d:5e"]
+    rows = [(t,) for t in [*found, *none]]
+    spanned, _, added = find_spans(spark.createDataFrame(rows, "text string"), scratch)
+    more = {r["text"]: r["m"] for r in spanned.select("text", as_text(F.col(added)).alias("m")).collect()}
+    assert more == {**found, **dict.fromkeys(none, "")}
+
+
 def test_redacted(corpus, scratch):
     rows = {r["doc_id"]: r["text"] for r in redact(corpus, scratch).collect()}
     assert rows[0] == "call [PHONE] now" and rows[1000] == "call [PHONE] now"
