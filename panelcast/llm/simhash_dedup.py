@@ -134,8 +134,7 @@ def near_links(fingerprints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame
 
     Fingerprints that near share at least ``8 - most_bits`` of their eight bytes in place. The
     index has a posting list for each choice of so many positions and the bytes there; a pair that
-    reaches the minimum count meets in such a list, its shared bytes are tallied and its bits
-    verified. The values of a list differ in ``most_bits`` bytes only, which bounds its length (65,536
+    shares so many meets in such a list, where its bits are verified; nothing is tallied. The values of a list differ in ``most_bits`` bytes only, which bounds its length (65,536
     values for two bits) whatever the size of the corpus. Of the links within a list only a
     spanning forest leaves it, so that no group is expanded into all pairs.
     """
