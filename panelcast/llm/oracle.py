@@ -8,6 +8,7 @@ from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+TERM_RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _count(column: str, characters: str) -> str:
@@ -168,10 +169,139 @@ LEFT JOIN stated AS s2 ON regexp_extract(j.directory, '(?s)^(.*)/[^/]*$', 1) = s
 """
 
 
+OP11 = rf"""
+WITH split AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM_RUN}') AS terms FROM documents),
+d AS (SELECT doc_id, r, terms, CAST(len(terms) AS BIGINT) AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+asked AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM_RUN}')) AS term
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term,
+    CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, totals GROUP BY term, all_docs),
+scored AS (SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf
+        + 8 * (100 - 90 + ((90 * n * all_docs) // all_terms))))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN d USING (r), totals
+    GROUP BY q, item_id, doc_id, r),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (
+    PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _added(label: str, cost: str, letters: str) -> str:
+    """A label (nine digits of cost, then the audit) after an edit."""
+    return (
+        f"(lpad(CAST(CAST(left({label}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0')"
+        f" || substr({label}, 10) || '{letters}')"
+    )
+
+
+def _either(*labels: str) -> str:
+    return f"least({', '.join(labels)})"
+
+
+def _row_step() -> str:
+    """The labels of the four states (before anything, after a system, a user, an assistant row)
+    behind a row, from those before it; null where a state cannot be reached."""
+    inserted = {
+        "b0": "s0",
+        "b1": "s1",
+        "b2": _either("s2", *(_added(s, "5", "I") for s in ("s0", "s1", "s3"))),
+        "b3": _either("s3", _added("s2", "5", "I"), *(_added(s, "10", "II") for s in ("s0", "s1"))),
+    }
+    may_stay = "fault NOT IN ('blank', 'duplicate')"
+    extra = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+
+    def stays(label: str, initial: str) -> list[str]:
+        kept = f"CASE WHEN {may_stay} AND initial = '{initial}' THEN {_added(label, extra, 'K')} END"
+        return [kept, f"CASE WHEN {may_stay} THEN {_added(label, f'1 + {extra}', 'R')} END"]
+
+    before = ", ".join(f"{label} AS {name}" for name, label in inserted.items())
+    user = _either(_added("b2", "2", "D"), *(x for b in ("b0", "b1", "b3") for x in stays(b, "u")))
+    after = {
+        "s0": _added("b0", "2", "D"),
+        "s1": _either(_added("b1", "2", "D"), stays("b0", "s")[0]),
+        "s2": user,
+        "s3": _either(_added("b3", "2", "D"), *stays("b2", "a")),
+    }
+    return (
+        f"SELECT c, i, {', '.join(f'{x} AS {s}' for s, x in after.items())} FROM (SELECT f.c, f.i,"
+        f" fault, initial, {before} FROM p JOIN faults f ON f.c = p.c AND f.i = p.i + 1)"
+    )
+
+
+CRC_STEP = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+OP13 = rf"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(list_prepend(b, range(8)),
+        lambda x, k: {CRC_STEP}) ORDER BY b) AS t FROM range(256) AS g(b)),
+named AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER () AS r,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations),
+marked AS (SELECT named.*, xor(list_reduce(list_prepend(4294967295,
+        list_transform(string_split(k, ''), lambda s: CAST(ord(s) AS BIGINT))),
+        lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 20 AS kind
+    FROM named, crc_table),
+damaged AS (SELECT c, conv_id, turn,
+    CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+        ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN kind = 0 THEN [] WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM marked),
+placed AS (SELECT *, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+faults AS (SELECT *, regexp_replace(text, '{SPACE_CLASS}+$', '') AS bare,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair,
+    CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault
+    FROM placed),
+p AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1,
+    CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM named
+    UNION ALL {_row_step()}),
+best AS (SELECT c, {_either("s0", _added("s1", "10", "II"), _added("s2", "5", "I"), "s3")} AS label
+    FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS back FROM p) WHERE back = 1),
+edits AS (SELECT c, substr(label, 10) AS audit, CAST(left(label, 9) AS BIGINT) AS cost,
+    string_split(substr(label, 10), '') AS letters FROM best),
+letters AS (SELECT c, unnest(letters) AS letter, unnest(range(1, len(letters) + 1)) AS nr FROM edits),
+spelled AS (SELECT *, count(*) FILTER (WHERE letter IN ('D', 'K', 'R'))
+        OVER (PARTITION BY c ORDER BY nr) AS i FROM letters),
+made AS (SELECT s.c, nr, letter, f.role, f.text, f.initial,
+        row_number() OVER (PARTITION BY s.c ORDER BY nr) AS slot
+    FROM spelled s LEFT JOIN faults f ON f.c = s.c AND f.i = s.i AND letter IN ('K', 'R')
+    WHERE letter != 'D'),
+offsets AS (SELECT c, max(CASE WHEN slot = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END)
+    AS o FROM made GROUP BY c),
+repaired AS (SELECT c, string_agg(CASE WHEN letter = 'K' THEN role
+        WHEN (slot - o) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY nr) AS body
+    FROM made JOIN offsets USING (c) GROUP BY c),
+counts AS (SELECT c, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM faults GROUP BY c)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+    sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM named) LEFT JOIN counts USING (c) LEFT JOIN edits USING (c)
+    LEFT JOIN repaired USING (c)
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_quality_rules": OP3,
         "op6_url_filter": OP6,
         "op8_license_scan": OP8,
         "op7_source_mix": OP7,
+        "op11_lexical_search": OP11,
+        "op13_conversation_repair": OP13,
     }

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import ByteBpe, n_tokens
+from panelcast.llm.conversations import Repair, damage
 from panelcast.llm.fingerprint import count_near, edited_with_next, likeness
 from panelcast.llm.html import extract
+from panelcast.llm.lexical import search
 from panelcast.llm.licenses import scan_licenses
+from panelcast.llm.linear_bpe import LinearBpe, joined_ids
 from panelcast.llm.mixing import mix
 from panelcast.llm.pii import KINDS, as_text, find_spans
 from panelcast.llm.quality import judge
@@ -125,6 +128,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return search(documents, items, Scratch(spark))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = LinearBpe(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", bpe.encode_and_decode("text").alias("b")).select(
+        "doc_id",
+        F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(joined_ids("b.ids"), 256).alias("ids_sha256"),
+        F.sha2("b.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return Repair(damage(conversations), conversations, Scratch(spark)).digests()
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -137,4 +163,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_bpe": op12_bpe,
+        "op13_conversation_repair": op13_conversation_repair,
     }
