@@ -11,7 +11,7 @@ import json
 import os
 import time
 
-from panelcast.operators.model import pooled_gbt
+from panelcast.operators.boosting import Boosting
 from panelcast.plans.checks import AS_OF, registered
 from panelcast.plans.outlook import run_outlook
 from panelcast.session import local_session
@@ -47,7 +47,7 @@ def parity(spark, sf_dir: str) -> None:
         bound_history(spark, sf_dir, first_key="nation"),
         scratch,
         as_of=AS_OF,
-        estimator=pooled_gbt(),
+        estimator=Boosting(),
     )
     drain(outlook)
 

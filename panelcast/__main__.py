@@ -7,7 +7,7 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
-from panelcast.operators.model import pooled_gbt
+from panelcast.operators.boosting import Boosting
 from panelcast.plans.job import run_job
 from panelcast.schema import HORIZON, MEASURES, N_LAGS
 
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
         options.as_of,
         options.replace_from,
         options.retrain,
-        pooled_gbt(n_trees=options.trees, n_lags=options.lags),
+        Boosting(n_trees=options.trees, n_lags=options.lags),
         {name: value for name, value in given.items() if value is not None},
         options.single_file,
         options.measures,

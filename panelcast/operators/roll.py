@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -10,6 +11,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.boosting import Boosting, Training
 from panelcast.operators.features import measure_frame, next_month
 from panelcast.operators.model import fit_pooled_model, score_month
 from panelcast.schema import HORIZON, MEASURES, N_LAGS
@@ -18,7 +20,7 @@ from panelcast.sources.scratch import Scratch
 
 def recursive_predict(
     lagged: DataFrame,
-    estimator: Estimator,
+    estimator: Estimator | Boosting,
     last_month: int,
     scratch: Scratch,
     horizon: int = HORIZON,
@@ -39,11 +41,58 @@ def recursive_predict(
     """
     last = lagged.filter(F.col("month") == last_month) if opening is None else opening
     scoring = next_month(last, "y", n_lags)
+    if retrain not in ("each_step", "once"):
+        raise ValueError(f"unknown retrain mode: {retrain}")
+    if isinstance(estimator, Boosting):
+        settings = replace(estimator, n_lags=n_lags)
+        return _boosted(
+            {"y": lagged}, {"y": scoring}, settings, last_month, scratch, horizon, retrain
+        )["y"]
     if retrain == "each_step":
         return _refitted(lagged, scoring, estimator, last_month, scratch, horizon, n_lags)
-    if retrain == "once":
-        return _fitted_once(lagged, scoring, estimator, last_month, horizon, n_lags)
-    raise ValueError(f"unknown retrain mode: {retrain}")
+    model = fit_pooled_model(lagged.filter(F.col("month") <= last_month), estimator, n_lags)
+    return _chained(scoring, model, last_month, horizon, n_lags)
+
+
+def _boosted(
+    lagged: Mapping[str, DataFrame],
+    scoring: Mapping[str, DataFrame],
+    settings: Boosting,
+    last_month: int,
+    scratch: Scratch,
+    horizon: int,
+    retrain: str,
+) -> dict[str, DataFrame]:
+    """All measures together: every pass over the data sums for the trees of each.
+
+    Refitting adds the month just predicted to the binned rows and their sums; nothing of the
+    history is binned or summed by amount again.
+    """
+    known = {m: frame.filter(F.col("month") <= last_month) for m, frame in lagged.items()}
+    n_lags = settings.n_lags
+    predicted: dict[str, DataFrame] = {}
+    with Training(known, settings, scratch) as training:
+        if retrain == "once":
+            models = training.fit()
+            return {
+                m: _chained(scoring[m], models[m], last_month, horizon, n_lags) for m in known
+            }
+        for step in range(1, horizon + 1):
+            models = training.fit()
+            scored = {
+                m: scratch.save(score_month(scoring[m], models[m], n_lags), f"step-{step}")
+                for m in known
+            }
+            predicted = {
+                m: predicted[m].unionByName(frame) if m in predicted else frame
+                for m, frame in scored.items()
+            }
+            if step < horizon:
+                training.add(
+                    {m: f.withColumnRenamed("y_pred", "y") for m, f in scored.items()}
+                )
+                scoring = {m: next_month(f, "y_pred", n_lags) for m, f in scored.items()}
+    return {m: f.select("series_id", "month", "y_pred") for m, f in predicted.items()}
 
 
 def _refitted(
@@ -68,15 +117,10 @@ def _refitted(
     return predicted.select("series_id", "month", "y_pred")
 
 
-def _fitted_once(
-    lagged: DataFrame,
-    scoring: DataFrame,
-    estimator: Estimator,
-    last_month: int,
-    horizon: int,
-    n_lags: int,
+def _chained(
+    scoring: DataFrame, model, last_month: int, horizon: int, n_lags: int
 ) -> DataFrame:
-    model = fit_pooled_model(lagged.filter(F.col("month") <= last_month), estimator, n_lags)
+    """All steps by one model, in a single pass over the last month."""
     no_steps = F.array().cast("array<double>")
     scoring = scoring.withColumn("path", no_steps)
     for _ in range(horizon):
@@ -93,7 +137,7 @@ def _fitted_once(
 
 def predict_measures(
     lagged: DataFrame,
-    estimator: Estimator,
+    estimator: Estimator | Boosting,
     last_month: int,
     scratch: Scratch,
     measures: Sequence[str] = MEASURES,
@@ -104,9 +148,29 @@ def predict_measures(
 ) -> dict[str, DataFrame]:
     """The same procedure for each measure of a frame with prefixed lags.
 
-    Measures do not depend on each other. Each is driven by a thread of its own, so that the
-    many short stages of one training fill the gaps of the other.
+    Measures do not depend on each other. ``Boosting`` fits them together; any other estimator is
+    driven by a thread for each, so that the many short stages of one training fill the gaps of
+    the other.
     """
+    if isinstance(estimator, Boosting):
+        if retrain not in ("each_step", "once"):
+            raise ValueError(f"unknown retrain mode: {retrain}")
+        frames = {m: measure_frame(lagged, m, n_lags) for m in measures}
+        last = {
+            m: frames[m].filter(F.col("month") == last_month)
+            if opening is None
+            else measure_frame(opening, m, n_lags)
+            for m in measures
+        }
+        return _boosted(
+            frames,
+            {m: next_month(f, "y", n_lags) for m, f in last.items()},
+            replace(estimator, n_lags=n_lags),
+            last_month,
+            scratch,
+            horizon,
+            retrain,
+        )
 
     def roll(measure: str) -> DataFrame:
         return recursive_predict(

@@ -16,6 +16,7 @@ from panelcast.functions.nulls import zero_fill
 from panelcast.operators import calendar as months
 from panelcast.operators import catalog as series
 from panelcast.operators import features, grid, model, publish, roll
+from panelcast.operators.boosting import Boosting
 from panelcast.plans.outlook import Panel, outlook_of, run_outlook, store_lagged
 from panelcast.schema import (
     HISTORY_LABELS,
@@ -159,8 +160,8 @@ def fixed():
     return model.fixed_weights(0.5, 0.5)
 
 
-def boosted():
-    return model.pooled_gbt(n_trees=N_TREES, learning_rate=LEARNING_RATE)
+def boosted() -> Boosting:
+    return Boosting(n_trees=N_TREES, learning_rate=LEARNING_RATE)
 
 
 def _amounts(frame: DataFrame) -> DataFrame:
@@ -234,7 +235,7 @@ def assemble_features(b: Bound) -> DataFrame:
 
 def fit_pooled_model(b: Bound) -> DataFrame:
     train = b.measure("ca")
-    trees = model.fit_pooled_model(train, boosted()).stages[-1]
+    trees = model.fit_pooled_model(train, boosted())
     seen = train.agg(
         F.count("*").alias("n_train"),
         F.min("month").alias("first_month"),
@@ -242,8 +243,8 @@ def fit_pooled_model(b: Bound) -> DataFrame:
         F.count_if(F.col("y") != 0).alias("n_not_zero"),
     )
     return seen.select(
-        F.lit(trees.getNumTrees).cast("int").alias("n_trees"),
-        F.lit(trees.numFeatures).cast("int").alias("n_features"),
+        F.lit(trees.n_trees).cast("int").alias("n_trees"),
+        F.lit(trees.n_features).cast("int").alias("n_features"),
         "*",
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from panelcast.operators.boosting import Boosting
+from panelcast.plans import boosting_sql
+
 # Fixed values of the test tables and their clock.
 CURRENT = 79
 LAST = 78
@@ -10,6 +13,7 @@ BEFORE_PAUSE = 71
 HORIZON = 6
 N_LAGS = 11
 N_TREES = 20
+BOOSTING = Boosting(n_trees=N_TREES, learning_rate=0.1)
 
 _HISTORY = """history AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS periode,
@@ -76,11 +80,17 @@ def _spine(name: str, last: int) -> str:
   FROM calendar, range(1, {HORIZON + 1}) AS ahead(h) WHERE month = {last})"""
 
 
-def _outlook(name: str, last: int) -> list[str]:
-    """Both measures, actual and predicted, under the business keys."""
+def _outlook(name: str, last: int, trees: bool = False) -> list[str]:
+    """Both measures, actual and predicted, under the business keys; by fixed weights, or by
+    trees fitted once."""
+    if trees:
+        predicted = [boosting_sql.subsets(BOOSTING)]
+        for m in ("ca", "mg"):
+            predicted += boosting_sql.rolled_once(f"{name}_{m}", m, last, HORIZON, BOOSTING)
+    else:
+        predicted = [_roll(f"{name}_{m}", m, last) for m in ("ca", "mg")]
     return [
-        _roll(f"{name}_ca", "ca", last),
-        _roll(f"{name}_mg", "mg", last),
+        *predicted,
         _spine(f"{name}_spine", last),
         f"""{name}_long AS (
   SELECT series_id, month, ca, CAST(NULL AS DOUBLE) AS ca_pred, mg, CAST(NULL AS DOUBLE) AS mg_pred
@@ -95,7 +105,7 @@ def _outlook(name: str, last: int) -> list[str]:
 
 
 def _with(parts: list[str], select: str) -> str:
-    recursive = any("_state AS (" in part for part in parts)
+    recursive = any("_state AS (" in part or "UNION ALL (" in part for part in parts)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
 
 
@@ -271,6 +281,22 @@ def statements() -> dict[str, str]:
             f"SELECT month, period_end, {_K}, ca, mg, month > {LAST} AS ca_predicted, "
             f"month > {LAST} AS mg_predicted FROM fresh",
         ),
+        "score_month": _with(
+            _BASE + [boosting_sql.subsets(BOOSTING)]
+            + boosting_sql.rolled_once("ahead", "ca", LAST, 1, BOOSTING),
+            "SELECT series_id, month, y_pred FROM ahead",
+        ),
+        "recursive_predict": _with(
+            _BASE + [boosting_sql.subsets(BOOSTING)]
+            + boosting_sql.rolled_each_step("ahead", "ca", LAST, HORIZON, BOOSTING),
+            "SELECT series_id, month, y_pred FROM ahead",
+        ),
+        "predict_all_measures": _with(
+            _BASE + _outlook("trees", LAST, trees=True),
+            "SELECT 'ca' AS measure, series_id, month, y_pred FROM trees_ca "
+            "UNION ALL SELECT 'mg', series_id, month, y_pred FROM trees_mg",
+        ),
+        "end_to_end": _with(_BASE + _outlook("trees", LAST, trees=True), "SELECT * FROM trees"),
         "ingest_counts": "SELECT TRUE AS each_once, CAST(0 AS BIGINT) AS last_batch, "
         "TRUE AS all_sized",
         "export_csv": _with(

@@ -10,6 +10,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.boosting import Boosting
 from panelcast.operators.calendar import (
     Horizon,
     distinct_periods,
@@ -20,7 +21,6 @@ from panelcast.operators.calendar import (
 from panelcast.operators.catalog import Catalog, observed_members, relabel_series
 from panelcast.operators.features import with_lags
 from panelcast.operators.grid import dense_grid, monthly_sums
-from panelcast.operators.model import pooled_gbt
 from panelcast.operators.publish import append_predictions, split_actual_predicted
 from panelcast.operators.roll import predict_measures
 from panelcast.schema import HORIZON, MEASURES, N_LAGS, published_schema
@@ -86,7 +86,7 @@ def run_outlook(
     as_of: dt.date | None = None,
     horizon: int = HORIZON,
     n_lags: int = N_LAGS,
-    estimator: Estimator | None = None,
+    estimator: Estimator | Boosting | None = None,
     retrain: str = "each_step",
     calendar_mode: str = "contiguous",
     measures: Sequence[str] = MEASURES,
@@ -101,7 +101,7 @@ def run_outlook(
 def outlook_of(
     panel: Panel,
     scratch: Scratch,
-    estimator: Estimator | None = None,
+    estimator: Estimator | Boosting | None = None,
     n_lags: int = N_LAGS,
     retrain: str = "each_step",
     measures: Sequence[str] = MEASURES,
@@ -110,7 +110,7 @@ def outlook_of(
     bounds = panel.bounds
     predictions = predict_measures(
         panel.lagged,
-        pooled_gbt(n_lags=n_lags) if estimator is None else estimator,
+        Boosting(n_lags=n_lags) if estimator is None else estimator,
         bounds.last_month,
         scratch,
         measures,

@@ -15,10 +15,6 @@ from panelcast.plans import checks, oracle
 QUERIES = checks.registered()
 ORACLE = oracle.statements()
 ROWS = {
-    "score_month": 150,
-    "recursive_predict": 900,
-    "predict_all_measures": 1800,
-    "end_to_end": 12750,
     "ingest_audit": None,
 }
 TYPES = {
