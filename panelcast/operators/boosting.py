@@ -9,23 +9,19 @@ from __future__ import annotations
 
 import json
 import math
-import sys
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark import RDD, StorageLevel, cloudpickle
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import with_diffs
+from panelcast.operators.histograms import descend, pack, subtract, sums_by_key, unpack
 from panelcast.schema import N_LAGS, feature_names
 from panelcast.sources.scratch import Scratch
 
-# What runs in Python workers travels by value, so that a cluster needs no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 VALUE_BITS, SUM_BITS = 28, 61
 BLOCK = "measure int, n int, y binary, codes binary"
 TREE = "array<struct<feature:array<int>,bin:array<int>,value:array<bigint>>>"
@@ -223,70 +219,8 @@ class Forest:
             np.vstack([self.value, value]),
         )
 
-    def since(self, tree: int) -> Forest:
-        return Forest(self.base, self.feature[tree:], self.bin[tree:], self.value[tree:])
-
-
-def _descend(codes: np.ndarray, feature: np.ndarray, bin_: np.ndarray, levels: int) -> np.ndarray:
-    """The node of each row after some levels; ``codes`` has a row per feature."""
-    node = np.zeros(codes.shape[1], dtype=np.intp)
-    rows = np.arange(codes.shape[1])
-    for _ in range(levels):
-        node = 2 * node + 1 + (codes[feature[node], rows] > bin_[node])
-    return node
-
-
-def _subtract(residual: np.ndarray, codes: np.ndarray, trees: Forest) -> np.ndarray:
-    """Residuals after further trees."""
-    depth = trees.value.shape[1].bit_length() - 1
-    residual = residual.copy()
-    for feature, bin_, value in zip(trees.feature, trees.bin, trees.value):
-        leaf = _descend(codes, feature, bin_, depth) - (len(value) - 1)
-        residual -= value[leaf]
-    return residual
-
-
-def _sums(weights: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Exact sums by key: amounts have up to 31 bits and a block far fewer than 2^21 rows, so the
-    floats that they are summed in hold them exactly."""
-    return np.bincount(keys, weights=weights, minlength=n).astype(np.int64)
-
-
-def _pack(batches: Iterator[pa.RecordBatch], n_rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``(measure, y, codes)`` as blocks of arrays."""
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def block(measure: int) -> pa.RecordBatch:
-        y = np.concatenate([w[0] for w in waiting])
-        codes = np.ascontiguousarray(np.concatenate([w[1] for w in waiting]).T)
-        waiting.clear()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([measure], pa.int32()),
-                pa.array([len(y)], pa.int32()),
-                pa.array([y.tobytes()], pa.binary()),
-                pa.array([codes.tobytes()], pa.binary()),
-            ],
-            names=["measure", "n", "y", "codes"],
-        )
-
-    measure = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        measure = batch.column(0)[0].as_py()
-        codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-        waiting.append((batch.column(1).to_numpy().astype(np.int64), codes.astype(np.uint16)))
-        if sum(len(w[0]) for w in waiting) >= n_rows:
-            yield block(measure)
-    if waiting:
-        yield block(measure)
-
-
-def _unpack(row) -> tuple[int, np.ndarray, np.ndarray]:
-    y = np.frombuffer(bytes(row["y"]), dtype=np.int64)
-    codes = np.frombuffer(bytes(row["codes"]), dtype=np.uint16).reshape(-1, row["n"])
-    return row["measure"], y, codes
+    def since(self, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.feature[tree:], self.bin[tree:], self.value[tree:]
 
 
 class Training:
@@ -336,12 +270,12 @@ class Training:
             rows = with_diffs(frames[name], n_lags).selectExpr(
                 f"{i} AS measure", f"{binning.whole('y')} AS y", f"{binning.codes(n_lags)} AS codes"
             )
-            blocks = rows.mapInArrow(lambda batches: _pack(batches, size), BLOCK)
+            blocks = rows.mapInArrow(lambda batches: pack(batches, size), BLOCK)
             packed = blocks if packed is None else packed.unionByName(blocks)
         stored = self.scratch.save(packed, "blocks")
         n_rows, n_parts = stored.agg(F.sum("n"), F.count("*")).first()
         tasks = max(1, min(n_parts or 1, math.ceil((n_rows or 0) / size)))
-        blocks = stored.rdd.map(_unpack).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = stored.rdd.map(unpack).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         n_measures, n_features = self.root_rows.shape[:2]
 
         def totals(part: Iterator[tuple]) -> Iterator[np.ndarray]:
@@ -349,7 +283,7 @@ class Training:
             for measure, y, codes in part:
                 for f in range(n_features):
                     sums[0, measure, f] += np.bincount(codes[f], minlength=n_bins)
-                    sums[1, measure, f] += _sums(y, codes[f], n_bins)
+                    sums[1, measure, f] += sums_by_key(y, codes[f], n_bins)
             yield sums
 
         rows, amounts = blocks.mapPartitions(totals).treeReduce(np.add)
@@ -389,13 +323,13 @@ class Training:
         }
 
     @staticmethod
-    def _further(residuals: RDD, last: list[Forest]) -> RDD:
+    def _further(residuals: RDD, last: list[tuple]) -> RDD:
         """What the last tree leaves of the residuals before it; written by the pass that first
         reads it."""
 
         def left(block: tuple) -> tuple:
             measure, residual, codes = block
-            return measure, _subtract(residual, codes, last[measure]), codes
+            return measure, subtract(residual, codes, last[measure]), codes
 
         return residuals.map(left).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -404,9 +338,12 @@ class Training:
         """What all trees so far leave, from the amounts themselves: no block depends on more than
         the stored table and a few trees' passes."""
 
+        all_trees = [(f.base, f.since(0)) for f in forests]
+
         def left(block: tuple) -> tuple:
             measure, y, codes = block
-            return measure, _subtract(y - forests[measure].base, codes, forests[measure]), codes
+            base, trees = all_trees[measure]
+            return measure, subtract(y - base, codes, trees), codes
 
         return blocks.map(left).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -468,16 +405,16 @@ class Training:
                 residual = residual.astype(np.float64)
                 if not level:
                     for at, feature in enumerate(features):
-                        sums[0, measure, 0, at] += _sums(residual, codes[feature], size)
+                        sums[0, measure, 0, at] += sums_by_key(residual, codes[feature], size)
                     continue
-                node = _descend(codes, split_feature[measure], split_bin[measure], level)
+                node = descend(codes, split_feature[measure], split_bin[measure], level)
                 node -= (1 << level) - 1
                 left = np.flatnonzero(node % 2 == 0)
                 residual, start = residual[left], (node[left] >> 1) * n_bins
                 for at, feature in enumerate(features):
                     keys = start + codes[feature][left]
                     by_node = (n_nodes, n_bins)
-                    sums[0, measure, :, at] += _sums(residual, keys, size).reshape(by_node)
+                    sums[0, measure, :, at] += sums_by_key(residual, keys, size).reshape(by_node)
                     sums[1, measure, :, at] += np.bincount(keys, minlength=size).reshape(by_node)
             yield sums
 
