@@ -12,7 +12,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from panelcast.llm.text import whole
 ARCHIVE_BYTES = 64 * 1024 * 1024
 SPLIT_BYTES = 16 * 1024 * 1024
 CHUNK = 1 << 20
+# A plain record whose header is longer than this counts as broken.
+HEADER_BYTES = 1 << 20
 MOST_TASKS = 100_000
 
 # Fixed values of the format.
@@ -31,11 +34,12 @@ MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-MANIFEST = "path string, n_bytes long, n_records long"
+MANIFEST = "path string, n_bytes long, n_records long, starts array<long>"
 RECORDS = (
     "kind string, path string, offset long, length long, record_type string, page_id long, "
     "target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 )
+MANIFEST_COLUMNS = [field.split()[0] for field in MANIFEST.split(", ")]
 COLUMNS = [field.split()[0] for field in RECORDS.split(", ")]
 
 
@@ -119,20 +123,25 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     """The manifest of archives of at most about ``archive_bytes`` each, one record per row.
 
     Evaluating the result writes; store it once and read what was stored. Each task writes
-    files of its own and holds one record at a time.
+    files of its own and holds one record at a time, beside the places where the records of an
+    archive start, which go into the manifest.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = open_folder(folder)
         system.create_dir(root, recursive=True)
         stream = path = None
-        size = records = 0
+        size, starts = 0, []
         done = []
+
+        def entry() -> tuple:
+            return f"{folder}/{path.rsplit('/', 1)[1]}", size, len(starts), starts
+
         for batch in batches:
             for page_id, url, payload, refers_to in batch.itertuples(index=False):
                 if stream is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    stream, size, records = system.open_output_stream(path, compression=None), 0, 0
+                    stream, size, starts = system.open_output_stream(path, compression=None), 0, []
                 packed = member(
                     record_bytes(
                         None if pd.isna(page_id) else int(page_id),
@@ -142,18 +151,17 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
                     )
                 )
                 stream.write(packed)
+                starts.append(size)
                 size += len(packed)
-                records += 1
                 if size >= archive_bytes:
                     stream.close()
-                    done.append((f"{folder}/{path.rsplit('/', 1)[1]}", size, records))
+                    done.append(entry())
                     stream = None
-            yield pd.DataFrame(done, columns=["path", "n_bytes", "n_records"])
+            yield pd.DataFrame(done, columns=MANIFEST_COLUMNS)
             done = []
         if stream is not None:
             stream.close()
-            done.append((f"{folder}/{path.rsplit('/', 1)[1]}", size, records))
-            yield pd.DataFrame(done, columns=["path", "n_bytes", "n_records"])
+            yield pd.DataFrame([entry()], columns=MANIFEST_COLUMNS)
 
     ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
     return (
@@ -222,11 +230,16 @@ def parse_record(data: bytes) -> dict:
 
 
 class Archive:
-    """Random access to the records of one archive, compressed by record or not at all."""
+    """Random access to the records of one archive, compressed by record or not at all.
+
+    ``starts`` are the places where its records were written, in order; then nothing else is taken
+    for one, whatever payloads hold. Without them the bytes are searched.
+    """
 
-    def __init__(self, file):
+    def __init__(self, file, starts: Sequence[int] | None = None):
         self.file = file
         self.size = file.size()
+        self.starts = starts
 
     def chunk(self, at: int, n: int = CHUNK) -> bytes:
         return self.file.read_at(min(n, max(0, self.size - at)), at) if at < self.size else b""
@@ -263,6 +276,8 @@ class Archive:
                 raise Broken("no end of the header")
             head += raw
             end += len(raw)
+            if len(head) > HEADER_BYTES and CRLF2 not in head:
+                raise Broken("no end of the header")
         head_end = head.index(CRLF2) + 4
         found = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)\r\n", head[:head_end])
         if not found:
@@ -275,6 +290,13 @@ class Archive:
     def next_valid(self, at: int) -> tuple[int, dict | None, int]:
         """The first byte from ``at`` on where a whole record passes all checks, with the record
         and its end; the end of the archive if there is none."""
+        if self.starts is not None:
+            for place in self.starts[bisect_left(self.starts, at) :]:
+                try:
+                    return place, *self.record_at(place)
+                except Broken:
+                    continue
+            return self.size, None, self.size
         while at < self.size:
             raw = self.chunk(at)
             for found in re.finditer(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n", raw):
@@ -320,37 +342,42 @@ def read_archives(
     """Records and gaps (``kind``) of archives ``(path, n_bytes)``, in the columns of ``RECORDS``.
 
     A gap is a quarantined range of bytes, ``offset`` and ``length`` of its archive, in which no
-    record passed its checks. Archives of compressed members are read in ranges of
-    ``split_bytes`` by different tasks; uncompressed ones (``.warc``) as one range, as a payload may
-    hold what looks like a record. A task holds one record and one chunk at a time. An empty
-    archive or manifest gives no rows.
+    record passed its checks. Archives whose manifest lists the ``starts`` of their records are read
+    in ranges of ``split_bytes`` by different tasks. Others, which come from elsewhere, are one range
+    each, read from the first byte on: a payload may hold what looks like a record, even whole
+    members, and only the chain of records before it tells. Behind a damaged record of such an
+    archive the bytes are searched, so what its own payload holds may be taken for records there. A
+    task holds one record, long ones whole, and one chunk at a time. Further columns of the
+    manifest are ignored; an empty archive or manifest gives no rows.
     """
     total = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 0
+    if "starts" not in manifest.columns:
+        manifest = manifest.withColumn("starts", F.lit(None).cast("array<long>"))
     last = F.greatest(F.col("n_bytes") - 1, F.lit(0))
-    starts = F.when(
-        F.endswith("path", F.lit(".gz")),
-        F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long")),
+    known = F.col("starts").isNotNull()
+    from_bytes = F.when(
+        known, F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long"))
     ).otherwise(F.array(F.lit(0).cast("long")))
     ranges = (
         manifest.filter("n_bytes > 0")
-        .select("path", "n_bytes", F.explode(starts).alias("start"))
+        .select("path", "n_bytes", "starts", F.explode(from_bytes).alias("start"))
         .select(
             "path",
             "start",
-            F.when(F.endswith("path", F.lit(".gz")), F.col("start") + split_bytes)
-            .otherwise(F.col("n_bytes"))
-            .alias("stop"),
+            F.when(known, F.col("start") + split_bytes).otherwise(F.col("n_bytes")).alias("stop"),
+            "starts",
         )
         .repartition(max(1, min(int(total), MOST_TASKS)))
     )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, start, stop in batch.itertuples(index=False):
+            for path, start, stop, starts in batch.itertuples(index=False):
                 system, name = open_folder(path)
+                known = None if starts is None else list(map(int, starts))
                 with system.open_input_file(name) as file:
                     rows, size = [], 0
-                    for kind, offset, length, record in Archive(file).salvage(start, stop):
+                    for kind, offset, length, record in Archive(file, known).salvage(start, stop):
                         row = {"kind": kind, "path": path, "offset": offset, "length": length}
                         row |= record
                         if not with_payload:

@@ -8,8 +8,8 @@ import pytest
 from panelcast.llm import warc
 
 
-def archive(data):
-    found = warc.Archive(pa.BufferReader(data))
+def archive(data, starts=None):
+    found = warc.Archive(pa.BufferReader(data), starts)
     found.size = len(data)
     return found
 
@@ -53,10 +53,57 @@ def test_salvage(packed, seed):
         assert offset == at
         at += length
     assert at == len(data)
-    if packed:
-        step = rng.randint(40, 400)
-        apart = [x for s in range(0, len(data), step) for x in archive(data).salvage(s, s + step)]
-        assert [x[:3] for x in sorted(apart, key=lambda x: x[1])] == [x[:3] for x in found]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_known_starts(seed):
+    """Ranges of any size give the whole records and the gaps between them, and nothing that a
+    payload holds, though payloads are archives themselves."""
+    rng = random.Random(seed)
+    parts, starts, whole, size = [], [], [], 0
+    for i in range(12):
+        inner = b"".join(warc.member(r) for r in records(rng.randint(0, 8), rng))
+        part = warc.member(warc.record_bytes(900 + i, "http://x", inner, None))
+        starts.append(size)
+        if rng.random() < 0.25:
+            at = rng.randrange(len(part))
+            part = part[:at] + bytes([part[at] ^ 0x55]) + part[at + 1 :]
+        else:
+            whole.append(900 + i)
+        parts.append(part)
+        size += len(part)
+    data = b"".join(parts)
+    one = [x[:3] for x in archive(data, starts).salvage(0, size)]
+    pages = [r["page_id"] for k, _, _, r in archive(data, starts).salvage(0, size) if k == "record"]
+    assert set(whole) <= set(pages) <= set(range(900, 912))
+    assert sum(length for _, _, length in one) == size
+    for step in (64, 1000, 10_000):
+        apart = [
+            x[:3] for s in range(0, size, step) for x in archive(data, starts).salvage(s, s + step)
+        ]
+        assert sorted(apart, key=lambda x: x[1]) == one
+
+
+def test_payloads_that_are_archives(spark, scratch):
+    """Random bytes are stored as they are, so whole members lie in the bytes of the archive."""
+    rng = random.Random(1)
+    payloads = [
+        b"".join(
+            warc.member(warc.record_bytes(900 + i, "u", rng.randbytes(6000), None)) for i in range(8)
+        )
+        for _ in range(3)
+    ]
+    rows = [(i, "http://h", bytearray(p), None) for i, p in enumerate(payloads)]
+    pages = spark.createDataFrame(
+        rows, "page_id long, url string, payload binary, refers_to long"
+    ).coalesce(1)
+    manifest = scratch.save(warc.write_archives(pages, scratch.folder("warc")), "manifest")
+    assert manifest.first()["n_records"] == len(manifest.first()["starts"]) == 3
+    for split in (1000, 10_000, 1 << 24):
+        read = warc.read_archives(manifest, split_bytes=split).collect()
+        assert sorted((r["kind"], r["page_id"]) for r in read) == [("record", i) for i in range(3)]
+    foreign = warc.read_archives(manifest.drop("starts"), split_bytes=10_000).collect()
+    assert sorted((r["kind"], r["page_id"]) for r in foreign) == [("record", i) for i in range(3)]
 
 
 def brute(pages, least):
