@@ -28,8 +28,8 @@ class Selection:
 
     The labels are made by rule (``pii_labels``) and never taken from the corpus, so a text gets the
     same spans in any company. ``most_labelled`` bounds the labelled candidates of the fit;
-    ``least_labelled`` is the number of each class that a kind must have among them, or else nothing of
-    it is added; ``precision`` is what the threshold of each kind must reach on the held-out fifth,
+    ``least_labelled`` is the number of each class that every kind must have among them, or else
+    the fit is refused; ``precision`` is what the threshold of each kind must reach on the held-out fifth,
     and ``least_score`` the lowest threshold.
     """
 
@@ -58,7 +58,6 @@ HEX_GROUPS = re.compile(
 )
 DIGIT_RUN = re.compile(r"[0-9]++(?:[\x20().\-/_]{1,3}[0-9]++)*+")
 DIGITS = re.compile(r"[0-9]+")
-MOST_GROUPS = 6
 KEYWORDS = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -124,13 +123,14 @@ def matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
 def wide_matches(text: str) -> Iterator[tuple[int, int, int]]:
     """Whatever could be one of the kinds; the trees choose.
 
-    Worded at signs in any case between a name and a host, hexadecimal groups with a double colon or
-    eight in number, and in runs of digits with the usual separators every sequence of at most
-    ``MOST_GROUPS`` groups with 7 to 19 digits, so that a number is found beside another one.
+    Worded at signs in any case between a name, however long, and a host; hexadecimal groups with a
+    double colon or eight in number (an address has no more); and in runs of digits with the usual
+    separators every sequence of groups with 7 to 19 digits, so that a number is found beside another
+    one. As a group has a digit, that is at most 19 sequences from any group.
     """
     for at in WORDED_AT.finditer(text):
         start = at.start()
-        while start > max(0, at.start() - 64) and text[start - 1] in LOCAL:
+        while start > 0 and text[start - 1] in LOCAL:
             start -= 1
         host = HOST.match(text, at.end())
         if start < at.start() and host:
@@ -145,7 +145,8 @@ def wide_matches(text: str) -> Iterator[tuple[int, int, int]]:
         groups = [(g.start(), g.end()) for g in DIGITS.finditer(text, run.start(), run.end())]
         for i, (start, _) in enumerate(groups):
             n = 0
-            for j, (first, stop) in enumerate(groups[i : i + MOST_GROUPS]):
+            for j in range(i, len(groups)):
+                first, stop = groups[j]
                 n += stop - first
                 if n > 19:
                     break
@@ -154,13 +155,13 @@ def wide_matches(text: str) -> Iterator[tuple[int, int, int]]:
                 opened = start > 0 and text[start - 1] == "(" and ")" in text[start:stop]
                 if n <= 15:
                     yield 3, start - opened, stop
-                if n >= 13 and j:
+                if n >= 13 and j > i:
                     yield 2, start, stop
 
 
 def features(text: str, kind: int, start: int, stop: int) -> list[float]:
     """Format and context of a span; whether it has a leading plus or at sign is not among them."""
-    value = text[start:stop][:200]
+    value = text[start:stop]
     digits = "".join(c for c in value if "0" <= c <= "9")
     runs = [len(r) for r in re.findall("[0-9]+", value)] or [0]
     marks = [c for c in value if not c.isalnum() and c not in "+@"]
@@ -252,7 +253,7 @@ _FITTED: dict[tuple[str, Selection], dict[int, tuple[Model, float]]] = {}
 
 
 def _fit(spark: SparkSession, options: Selection) -> dict[int, tuple[Model, float]]:
-    """The trees of each kind and their threshold; a kind with too few labels has none.
+    """The trees of each kind and their threshold; too few labels of a kind are an error.
 
     Both classes weigh the same in the fit; the threshold is found on the labels as they are. As the
     labels are fixed, an application fits once for the same options.
@@ -269,7 +270,7 @@ def _fit(spark: SparkSession, options: Selection) -> dict[int, tuple[Model, floa
         right = sum(r[2] == 1.0 for r in of_kind)
         wrong = len(of_kind) - right
         if min(right, wrong) < max(1, options.least_labelled):
-            continue
+            raise ValueError(f"{name}: {right} right and {wrong} wrong labelled candidates")
         rows = (
             spark.createDataFrame(
                 of_kind, "uid long, kind int, label double, features array<double>"
@@ -348,13 +349,14 @@ def find_spans(
     """``docs`` with the base spans and the added ones, and the names of the two columns.
 
     Both are arrays of ``(kind, start, stop)`` in code points, stop exclusive, ``kind`` a place in
-    ``KINDS``. A null or empty text has none; repeated rows are treated alike; an empty table gives
-    no rows. Texts are read in one pass, which also proposes the candidates; what
+    ``KINDS``. A null or empty text has none; long texts are read whole; repeated rows are treated
+    alike; an empty table gives no rows; further columns stay, whatever their names. Texts are read in one pass, which also proposes the candidates; what
     the trees score are rows of a few numbers. Base spans are never dropped, and an added span never
     overlaps one. Without ``keep_text`` the text is left out of the result and of what is stored.
     """
     uid, found = fresh_name(docs, "uid"), fresh_name(docs, "found")
     base, added = fresh_name(docs, "base_spans"), fresh_name(docs, "added_spans")
+    of_uid, chosen = fresh_name(docs, "of_uid"), fresh_name(docs, "chosen")
     looked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(
         found, find_candidates(F.col(text))
     )
@@ -365,8 +367,6 @@ def find_spans(
     fitted = _fit(docs.sparkSession, options)
     none = F.array().cast(f"array<{SPAN}>")
     with_base = marked.withColumn(base, F.col(f"{found}.base")).drop(found)
-    if not fitted:
-        return with_base.withColumn(added, none).drop(uid), base, added
     each = each.withColumn("vector", array_to_vector("features"))
     score, threshold = F.lit(0.0), F.lit(1.0)
     for kind, (model, least) in fitted.items():
@@ -380,11 +380,11 @@ def find_spans(
         .filter(F.col("p") >= threshold)
         .groupBy("uid")
         .agg(F.collect_list(F.struct("kind", "start", "stop", "p")).alias("spans"))
-        .select(F.col("uid").alias("of_uid"), _choose(F.col("spans")).alias("chosen"))
+        .select(F.col("uid").alias(of_uid), _choose(F.col("spans")).alias(chosen))
     )
-    joined = with_base.join(scored, F.col(uid) == F.col("of_uid"), "left")
+    joined = with_base.join(scored, F.col(uid) == F.col(of_uid), "left")
     return (
-        joined.withColumn(added, F.coalesce("chosen", none)).drop(uid, "of_uid", "chosen"),
+        joined.withColumn(added, F.coalesce(chosen, none)).drop(uid, of_uid, chosen),
         base,
         added,
     )

@@ -20,6 +20,7 @@ PHONES = [
     "0## / #######", "0#### ######", "(0##) ### ## ##", "(0###) ######", "01 ## ## ## ##",
     "6## ### ###", "9## ## ## ##", "0049 ## ########", "0033 # ## ## ## ##", "(###)###-####",
     "0##-####-####", "0## #### ####", "1 (###) ###-####", "1.###.###.####",
+    "00 ## # ## ## ## ##", "00 ## ## ## ## ## ##",
 ]
 NO_PHONES = [
     "19##-0#-1#", "20##-1#-0#", "1#.0#.20##", "0#/1#/19##", "#.##.###.#", "###.##.3##.7", "##.###.##",

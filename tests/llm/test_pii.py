@@ -5,7 +5,15 @@ import pytest
 from edge_cases import edge_docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from panelcast.llm.pii import KINDS, Selection, as_text, find_spans, look_through, redact
+from panelcast.llm.pii import (
+    KINDS,
+    Selection,
+    as_text,
+    find_spans,
+    look_through,
+    redact,
+    wide_matches,
+)
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,9 +83,44 @@ def test_candidates_add_to_the_base(corpus, scratch):
     assert more == {1000: "phone:5:19"}
 
 
-def test_too_few_labels_add_nothing(corpus, scratch):
-    spanned, _, added = find_spans(corpus, scratch, Selection(least_labelled=10_000))
-    assert spanned.filter(F.size(added) > 0).count() == 0
+def test_too_few_labels_are_refused(corpus, scratch):
+    with pytest.raises(ValueError):
+        find_spans(corpus, scratch, Selection(least_labelled=10_000))
+
+
+def brute_runs(text):
+    """Every sequence of whole digit groups of 7 to 19 digits, over all pairs of places."""
+    out = set()
+    for run in re.finditer(r"[0-9]+(?:[ ().\-/_]{1,3}[0-9]+)*", text):
+        groups = [m.span() for m in re.finditer("[0-9]+", run[0])]
+        for i, (start, _) in enumerate(groups):
+            for _, stop in groups[i:]:
+                n = sum(c.isdigit() for c in run[0][start:stop])
+                at = run.start() + start
+                opened = at > 0 and text[at - 1] == "(" and ")" in run[0][start:stop]
+                if 7 <= n <= 15:
+                    out.add((3, at - opened, run.start() + stop))
+                if 13 <= n <= 19 and not run[0][start:stop].isdigit():
+                    out.add((2, at, run.start() + stop))
+    return out
+
+
+def test_any_number_of_groups_is_proposed():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choice("0123456789 .-(x)") for _ in range(rng.randint(5, 60)))
+        assert set(wide_matches(text)) == brute_runs(text)
+    for n in range(7, 20):
+        digits = " ".join("1" * n)
+        assert any(k[1:] == (5, 5 + len(digits)) for k in wide_matches(f"call {digits} now"))
+
+
+def test_long_names_and_many_groups(spark, scratch):
+    """No part of an address stays because it is long, no part of a number because of its groups."""
+    name = "a" * 80
+    rows = [(f"mail {name} at host dot com now",), ("call 00 33 1 23 45 67 89 now",)]
+    done = redact(spark.createDataFrame(rows, "text string"), scratch)
+    assert sorted(r["text"] for r in done.collect()) == ["call [PHONE] now", "mail [EMAIL] now"]
 
 
 def test_a_text_gets_the_same_spans_in_any_corpus(spark, corpus, scratch):
