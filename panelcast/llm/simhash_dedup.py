@@ -204,6 +204,7 @@ def drop_near_copies(
     one another: one of them stays.
     """
     fp = fresh_name(docs, "fp")
+    first_id, first_fp = fresh_name(docs, "first_id"), fresh_name(docs, "first_fp")
     marked = scratch.save(
         docs.withColumn(fp, fingerprint_column(F.col(text), shingle)), "fingerprinted"
     )
@@ -212,7 +213,7 @@ def drop_near_copies(
         _rooted(rows, scratch, most_bits)
         .groupBy("root")
         .agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("first"))
-        .select(F.col("first.least").alias("first_id"), F.col("first.fp").alias("first_fp"))
+        .select(F.col("first.least").alias(first_id), F.col("first.fp").alias(first_fp))
     )
-    same = (F.col(fp) == F.col("first_fp")) & F.col(doc_id).eqNullSafe(F.col("first_id"))
+    same = (F.col(fp) == F.col(first_fp)) & F.col(doc_id).eqNullSafe(F.col(first_id))
     return marked.join(first, same, "left_semi").dropDuplicates([doc_id, fp]).drop(fp)

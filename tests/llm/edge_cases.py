@@ -1,7 +1,9 @@
 import pytest
 
-# Columns that the operators might use themselves, and one of other types.
-CLASHES = "uid long, fp long, found string, judged string, size long, u double, own string, b string"
+# Columns that the operators use themselves, of other types.
+NAMES = "uid fp found judged size u own b of_uid chosen first_id first_fp found_ least root node".split()
+NAMES += "base_spans added_spans candidates spans kind ids token_ids copy strict soft uid_ fp_".split()
+CLASHES = ", ".join(f"{name} string" for name in NAMES)
 
 
 @pytest.fixture
@@ -21,7 +23,7 @@ def edge_docs(spark):
         (None, words + " more", "en", "b", None),
         (None, None, None, None, None),
     ]
-    extra = (7, 8, "x", "y", 9, 0.5, "z", "w")
+    extra = tuple(f"own {name}" for name in NAMES)
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
     return spark.createDataFrame([(*r, *extra) for r in rows], schema)
 
