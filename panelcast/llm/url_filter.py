@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.text import lower_ascii
+from panelcast.llm.text import fresh_name, lower_ascii
 
 # One of the first kind rejects an address, several different ones of the second do.
 STRICT = ["camgirl", "camgirls", "hentai", "milf", "porn", "porno", "pornhub", "sexcam", "xxx"]
@@ -126,19 +126,20 @@ def judge_urls(
     Columns of those names are replaced. The longest fitting rule decides; where none fits, one
     strict term or ``soft_limit`` distinct soft ones block. A null, empty or malformed address has
     an empty host and path, fits no rule, and is blocked by its terms alone (null: allowed).
-    Repeated rows are judged alike; an empty table gives no rows. Rules and terms are parameters of
+    Repeated rows are judged alike, addresses of any length whole; an empty table gives no rows. Rules and terms are parameters of
     the plan and bounded by that; a row is judged by itself, so nothing is shuffled.
     """
     host, path = F.col("host"), F.col("path")
     listed = _choice(host, path, rules, lambda r: r.verdict)
+    found = fresh_name(pages, "found_")
     hits = vocabulary_hits(strict, soft)(F.col(url))
     blocked = (F.col("n_strict") >= 1) | (F.col("n_soft") >= soft_limit)
     own = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
     return (
         pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
         .withColumn("rule", _choice(host, path, rules, lambda r: r.name))
-        .withColumn("found_", hits)
-        .withColumns({"n_strict": F.col("found_.strict"), "n_soft": F.col("found_.soft")})
+        .withColumn(found, hits)
+        .withColumns({"n_strict": F.col(f"{found}.strict"), "n_soft": F.col(f"{found}.soft")})
         .withColumn("verdict", F.coalesce(listed, own))
-        .drop("found_")
+        .drop(found)
     )

@@ -36,3 +36,14 @@ def test_cases(spark):
 def test_distinct_soft_terms(spark, limit, verdict):
     pages = spark.createDataFrame([("http://x.org/poker/slots",)], "url string")
     assert judge_urls(pages, soft_limit=limit).first()["verdict"] == verdict
+
+
+def test_columns_of_its_own_names_stay(spark):
+    rows = [(1, "http://a.com/xxx", "mine", "too"), (2, None, "mine", "too")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, found_ string, found__ string")
+    done = judge_urls(pages).orderBy("page_id").collect()
+    assert [(r["found_"], r["found__"], r["verdict"]) for r in done] == [
+        ("mine", "too", "allow"), ("mine", "too", "allow"),
+    ]
+    long_one = spark.createDataFrame([(3, "http://a.b/" + "z/" * 500_000 + "xxx")], "page_id long, url string")
+    assert judge_urls(long_one).first()["verdict"] == "block"
