@@ -119,7 +119,7 @@ def within_radius(queries: DataFrame, indexed: DataFrame, radius: int = RADIUS)
 
 
 FIELDS = (
-    "kind string, part int, doc_id long, n_chars long, edited_sha256 string, fp long, "
+    "kind string, part int, doc_id {id_type}, n_chars long, edited_sha256 string, fp long, "
     "edited_fp long, next_fp long, text string"
 )
 
@@ -140,6 +140,7 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     held = None
     for batch in batches:
+        id_type = batch.schema.field("doc_id").type
         for start in range(0, batch.num_rows, ROWS_AT_ONCE):
             piece = batch.slice(start, ROWS_AT_ONCE)
             out = []
@@ -155,14 +156,14 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
                 held = (doc_id, text, fp)
             if out:
-                yield _rows(out)
+                yield _rows(out, id_type)
     if held is not None:
         doc_id, text, fp = held
-        yield _rows([("tail", part, doc_id, len(text), None, fp, None, None, text)])
+        yield _rows([("tail", part, doc_id, len(text), None, fp, None, None, text)], id_type)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+def _rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "{id_type}": id_type}
     fields = [field.split() for field in FIELDS.split(", ")]
     columns = [pa.array(c, types[kind]) for c, (_, kind) in zip(zip(*rows), fields)]
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
@@ -179,8 +180,8 @@ def edited_with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     The next document is the one of the next smaller ``doc_id`` (nulls last, rows of one id by
     their text), after the last one the first. Returns ``doc_id, n_chars, edited_sha256, fp,
-    edited_fp, next_fp`` per row; null texts count as empty, a single row is its own neighbour, an
-    empty table gives no rows.
+    edited_fp, next_fp`` per row, with ids of the type they have; further columns are left out. Null
+    texts count as empty, a single row is its own neighbour, an empty table gives no rows.
 
     Texts move once, to range partitions of the id; each partition is one pass that holds two
     texts at a time. Only the first and last row of each partition meet in a second step.
@@ -189,11 +190,12 @@ def edited_with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
         {"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
     )
     order = [F.col("doc_id").desc_nulls_last(), "tie", "row"]
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     along = scratch.save(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
-        .mapInArrow(_along, FIELDS),
+        .mapInArrow(_along, FIELDS.format(id_type=id_type)),
         "edited",
     )
     results = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"]

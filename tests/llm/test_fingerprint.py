@@ -74,3 +74,10 @@ def test_likeness(spark):
     rows = spark.createDataFrame([(5, 5), (0, -1), (0, 0xFFFF)], "a long, b long")
     found = [r[0] for r in rows.select(fp.likeness(F.col("a"), F.col("b"))).collect()]
     assert found == pytest.approx([1.0, 0.0, 2**-0.5])
+
+
+def test_ids_that_are_text(spark, scratch):
+    rows = [(k, f"some words of {k}") for k in ("a", "b", "c")] + [(None, "no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r["doc_id"]: r["n_chars"] for r in fp.edited_with_next(docs, scratch).collect()}
+    assert found == {k: len(t) for k, t in rows}
