@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.text import whole
 
-# Bounds of the memory of pre-tokens already encoded, in each Python worker.
-MOST_REMEMBERED = 300_000
+# Bytes of pre-tokens already encoded that each Python worker remembers, and what an entry takes
+# beside its characters and ids.
+REMEMBERED_BYTES = 160 * 1024 * 1024
+ENTRY_BYTES = 200
 # Characters and bytes handled at once; they bound memory, not what is encoded.
 SEGMENT = 1_000_000
 ENCODED_AT_ONCE = 2_000_000
@@ -100,6 +102,7 @@ class Codec:
         self.pair_keys = None
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.remembered = 0
 
     def _prepare(self) -> None:
         """Ranks of pairs of tokens, and of pairs of bytes."""
@@ -244,9 +247,10 @@ class Codec:
             self.known.update(zip([p for p, _ in group], self.merge([r for _, r in group])))
 
     def _forget(self) -> None:
-        for kept in (self.known, self.spaced):
-            if len(kept) > MOST_REMEMBERED:
-                kept.clear()
+        if self.remembered > REMEMBERED_BYTES:
+            self.known.clear()
+            self.spaced.clear()
+            self.remembered = 0
 
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Packed ids of each segment of a bounded number of characters in all.
@@ -269,10 +273,13 @@ class Codec:
                 cut.append((pieces, rest))
         split = {p: self.pattern.findall(" " + p) for p in loose - self.spaced.keys()}
         missing.update(*split.values())
-        self._learn(missing - self.known.keys())
+        new = missing - self.known.keys()
+        self._learn(new)
         known, spaced = self.known, self.spaced
         for piece, matches in split.items():
             spaced[piece] = b"".join([known[m] for m in matches])
+        self.remembered += sum(ENTRY_BYTES + 4 * len(p) + len(known[p]) for p in new)
+        self.remembered += sum(ENTRY_BYTES + 4 * len(p) + len(spaced[p]) for p in split)
         out = []
         for pieces, rest in cut:
             ids = [known[p] for p in pieces]

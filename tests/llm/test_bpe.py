@@ -50,13 +50,21 @@ def test_as_the_library(own, expected, segment, monkeypatch):
 def test_little_memory_gives_the_same(own, monkeypatch):
     texts = random_texts(300, 3)
     expected = own.encode(texts)
-    monkeypatch.setattr(bpe, "MOST_REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 500)
     monkeypatch.setattr(bpe, "ENCODED_AT_ONCE", 100)
     monkeypatch.setattr(bpe, "MERGED_AT_ONCE", 10)
     with open(PATH, "rb") as file:
         assert bpe.Codec(file.read(), public_tokenizers.PATTERN).encode(texts) == expected
 
 
+def test_memory_is_bounded_in_bytes(own, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 100_000)
+    rng = random.Random(8)
+    for _ in range(30):
+        own.encode(["".join(rng.choice("abcdef") for _ in range(20_000))])
+        assert sum(map(len, own.known)) + sum(map(len, own.spaced)) <= 100_000
+
+
 def test_ranks_out_of_order():
     """Vocabularies in which a join makes a pair of a smaller rank."""
     rng = random.Random(9)
