@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import mixing, pii, quality, simhash_dedup
 from panelcast.llm.bpe import ByteBpe, n_tokens
+from panelcast.llm.text import fresh_name
 from panelcast.sources.scratch import Scratch
 
 
@@ -32,18 +33,22 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian, 32 bits) beside the columns of the documents, and the sums
-    of the ids and of the bytes that they decode to."""
+    of the ids and of the bytes that they decode to. Columns of these names are replaced."""
     import public_tokenizers
 
     bpe = ByteBpe(
         spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    return docs.withColumn("b", bpe.encode_and_decode("text")).select(
-        *docs.columns,
-        F.col("b.ids").alias("ids"),
-        n_tokens("b.ids").alias("n_tokens"),
-        F.sha2("b.ids", 256).alias("ids_sha256"),
-        F.sha2("b.decoded", 256).alias("decoded_sha256"),
+    both = fresh_name(docs, "both")
+    results = {
+        "ids": F.col(f"{both}.ids"),
+        "n_tokens": n_tokens(f"{both}.ids"),
+        "ids_sha256": F.sha2(f"{both}.ids", 256),
+        "decoded_sha256": F.sha2(f"{both}.decoded", 256),
+    }
+    return docs.withColumn(both, bpe.encode_and_decode("text")).select(
+        *[c for c in docs.columns if c.lower() not in results],
+        *[value.alias(name) for name, value in results.items()],
     )
 
 
