@@ -38,7 +38,20 @@ def monthly_sums(
     Facts are summed by label first. Only then are labels parsed and the spellings of one month
     brought together, which takes a second sum over what little is left.
     """
-    by_label = history.groupBy(*keys, "periode").agg(*[F.sum(m).alias(m) for m in measures])
+    return period_sums(label_sums(history, keys, measures), keys, measures)
+
+
+def label_sums(
+    history: DataFrame, keys: Sequence[str] = KEYS, measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    """Exact sums by key and period label; sums of parts of a history add up to those of all."""
+    return history.groupBy(*keys, "periode").agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def period_sums(
+    by_label: DataFrame, keys: Sequence[str] = KEYS, measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    """Sums by key and month from one or more sums by label, as doubles, nulls as zero."""
     sums = [F.coalesce(F.sum(m).cast("double"), F.lit(0.0)).alias(m) for m in measures]
     return (
         by_label.withColumn("period", parse_period("periode")).groupBy(*keys, "period").agg(*sums)

@@ -31,6 +31,8 @@ from panelcast.schema import (
 from panelcast.sources.bindings import bound_history
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import export_csv, publish_partitions
+from panelcast.sources.snapshots import publish_snapshot, read_snapshot
+from panelcast.sources.sums import SumStore
 from panelcast.sources.tables import CSV_READ, read_published, rename_columns
 from panelcast.streaming.drop import ingest_drop, read_audit, read_ingested
 
@@ -313,6 +315,35 @@ def publish_after_pause(b: Bound) -> DataFrame:
     return _published(b, [LONG_BEFORE, b.as_of])
 
 
+def publish_by_snapshots(b: Bound) -> DataFrame:
+    """Published as of last month, then as of now, each at once."""
+    path = b.scratch.folder("snapshots")
+    for day in (EARLIER, b.as_of):
+        seen = b.at(day)
+        first, last = seen.bounds.current_month, seen.bounds.last_predicted
+        publish_snapshot(
+            seen.fixed_outlook(), path, seen.bounds.period_end(first), seen.bounds.period_end(last)
+        )
+    return read_snapshot(b.spark, path)
+
+
+def merged_sums(b: Bound) -> DataFrame:
+    """The history taken up in three drops that share months and series, summed batch by batch."""
+    drop, history, audit, progress, sums = (
+        b.scratch.folder(name) for name in ("drop", "history", "audit", "progress", "sums")
+    )
+    labelled = [F.col(name).alias(label) for label, name in HISTORY_LABELS.items()]
+    stored = b.scratch.save(b.history.withColumn("part", F.pmod(F.hash("ca"), F.lit(3))), "parts")
+    store = SumStore(b.spark, sums)
+    for part in range(3):
+        stored.filter(F.col("part") == part).select(*labelled).write.mode("append").parquet(drop)
+        ingest_drop(b.spark, drop, history, audit, progress)
+        store.catch_up(history)
+        if part == 1:
+            store.compact()
+    return store.merged()
+
+
 def export_labelled(b: Bound) -> DataFrame:
     path = b.scratch.folder("export")
     export_csv(b.scratch.save(b.fixed_outlook(), "outlook"), path)
@@ -390,6 +421,7 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "series_catalog": lambda b: b.catalog.series(),
     "filter_series": filter_series,
     "orphan_facts": orphan_facts,
+    "merged_sums": merged_sums,
     "monthly_sums": lambda b: grid.monthly_sums(b.history),
     "calendar_left_join": calendar_left_join,
     "zero_grid": lambda b: grid.zero_grid(b.catalog, b.bounds.n_months),
@@ -430,6 +462,7 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "publish_replace_slice": publish_replace_slice,
     "publish_partitions": publish_twice,
     "publish_after_pause": publish_after_pause,
+    "publish_snapshot": publish_by_snapshots,
     "export_csv": export_labelled,
     "end_to_end": end_to_end,
     "end_to_end_cells": end_to_end_cells,

@@ -13,6 +13,8 @@ from panelcast.plans.outlook import publish_outlook
 from panelcast.schema import MEASURES
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import export_csv
+from panelcast.sources.snapshots import read_snapshot
+from panelcast.sources.sums import SumStore
 from panelcast.sources.tables import read_dimensions, read_published
 from panelcast.streaming.drop import ingest_drop, read_ingested
 
@@ -31,12 +33,15 @@ def run_job(
     reader_options: dict[str, str] | None = None,
     single_file: bool = False,
     measures: Sequence[str] = MEASURES,
+    snapshots: bool = False,
     **options,
 ) -> Horizon | None:
     """Keep history, audit, published table and export under ``store``.
 
     By default every dropped file is the whole history and the newest one counts; otherwise
-    files add to one another. As long as no file was ever dropped nothing is done.
+    files add to one another: their monthly sums are kept under ``store`` as well, so that a run reads
+    only the facts that are new. As long as no file was ever dropped nothing is done. With
+    ``snapshots`` readers see the published table change at once (``sources.snapshots``).
     ``reader_options`` are those of ``read_history`` for the dropped files (``sep``, ``encoding``,
     ``decimal``), ``measures`` the columns to project, ``single_file`` is that of the export, and ``options`` (``horizon``, ``n_lags``,
     ``calendar_mode``) are those of ``run_outlook``.
@@ -60,6 +65,11 @@ def run_job(
     )
     if history is None:
         return None
+    store_of_sums = None
+    if not whole_history_per_file:
+        store_of_sums = SumStore(spark, f"{store}/sums", measures)
+        store_of_sums.catch_up(history_path)
+        history = store_of_sums.merged()
     scratch = Scratch(spark)
     try:
         dimensions = None
@@ -74,9 +84,14 @@ def run_job(
             retrain=retrain,
             estimator=estimator,
             measures=measures,
+            snapshots=snapshots,
+            summed=store_of_sums is not None,
             **options,
         )
     finally:
         scratch.close()
-    export_csv(read_published(spark, published_path, measures), export_path, single_file)
+    if store_of_sums is not None:
+        store_of_sums.compact()
+    read = read_snapshot if snapshots else read_published
+    export_csv(read(spark, published_path, measures), export_path, single_file)
     return bounds

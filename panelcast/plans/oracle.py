@@ -183,6 +183,7 @@ def statements() -> dict[str, str]:
         "orphan_facts": _with(
             history, f"SELECT periode, {_K}, {_FACTS} FROM history WHERE bu = 'BUILDING'"
         ),
+        "merged_sums": _with(dated + [_SUMS], f"SELECT {_K}, period, ca, mg FROM sums"),
         "monthly_sums": _with(dated + [_SUMS], f"SELECT {_K}, period, ca, mg FROM sums"),
         "calendar_left_join": _with(
             [_HISTORY, _DATED, _SUMS, _DIMS, _CALENDAR],
@@ -265,6 +266,7 @@ def statements() -> dict[str, str]:
         "join_measures": _with(_OUTLOOK, "SELECT * FROM fresh"),
         "publish_replace_slice": _with(_BOTH, _REPLACED),
         "publish_partitions": _with(_BOTH, _REPLACED),
+        "publish_snapshot": _with(_BOTH, _REPLACED),
         "publish_after_pause": _with(
             _OUTLOOK + _outlook("former", BEFORE_PAUSE),
             f"SELECT * FROM former WHERE month <= {BEFORE_PAUSE + HORIZON} "

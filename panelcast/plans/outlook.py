@@ -26,6 +26,7 @@ from panelcast.operators.roll import predict_measures
 from panelcast.schema import HORIZON, MEASURES, N_LAGS, published_schema
 from panelcast.sources.scratch import Scratch
 from panelcast.sources.sinks import publish_partitions
+from panelcast.sources.snapshots import publish_snapshot
 
 
 @dataclass(frozen=True)
@@ -63,14 +64,16 @@ def build_panel(
     n_lags: int = N_LAGS,
     measures: Sequence[str] = MEASURES,
     calendar_mode: str = "contiguous",
+    summed: bool = False,
 ) -> Panel:
-    """Aggregate, densify and lag the history.
+    """Aggregate, densify and lag the history (or, if ``summed``, what ``monthly_sums`` made of it).
 
     Facts are scanned once: the monthly sums are written, and calendar, dimension lists (where
     none are given) and grid are derived from them. The incomplete month is cut before the
     lags, which look back only.
     """
-    sums = scratch.save(monthly_sums(history, measures=measures), "sums")
+    sums = history if summed else monthly_sums(history, measures=measures)
+    sums = scratch.save(sums, "sums")
     calendar = scratch.save(month_calendar(distinct_periods(sums), calendar_mode), "calendar")
     bounds = read_horizon(calendar, as_of, horizon)
     catalog = Catalog.of(observed_members(sums, scratch) if dimensions is None else dimensions)
@@ -90,10 +93,11 @@ def run_outlook(
     retrain: str = "each_step",
     calendar_mode: str = "contiguous",
     measures: Sequence[str] = MEASURES,
+    summed: bool = False,
 ) -> tuple[DataFrame, Horizon]:
     """Actual months and ``horizon`` predicted ones for every series, in published columns."""
     panel = build_panel(
-        history, scratch, dimensions, as_of, horizon, n_lags, measures, calendar_mode
+        history, scratch, dimensions, as_of, horizon, n_lags, measures, calendar_mode, summed
     )
     return outlook_of(panel, scratch, estimator, n_lags, retrain, measures), panel.bounds
 
@@ -131,10 +135,12 @@ def publish_outlook(
     path: str,
     dimensions: DataFrame | None = None,
     replace_from: str = "current",
+    snapshots: bool = False,
     **options,
 ) -> Horizon:
     """Run the job, publish it to ``path`` and drop the intermediate tables.
 
+    With ``snapshots`` the table is published as a whole or not at all (``sources.snapshots``).
     ``replace_from='current'`` renews the current month and later ones; ``'last'`` also the
     last complete month, so that its earlier prediction gives way to what was observed.
     """
@@ -144,7 +150,8 @@ def publish_outlook(
     try:
         outlook, bounds = run_outlook(history, scratch, dimensions, **options)
         first = bounds.current_month if replace_from == "current" else bounds.last_month
-        publish_partitions(
+        publish = publish_snapshot if snapshots else publish_partitions
+        publish(
             outlook, path, bounds.period_end(first), bounds.period_end(bounds.last_predicted)
         )
     finally:
