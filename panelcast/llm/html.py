@@ -20,25 +20,29 @@ INLINE = frozenset(
     "samp small span strike strong sub sup td th time tt u var".split()
 )
 FURNITURE = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe map menu meter nav noscript "
+    "aside audio button canvas datalist dialog footer head iframe map menu meter nav noscript "
     "object progress script select style svg template textarea title video".split()
 )
 ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search "
     "toolbar".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class and id attributes.
+# Words that class and id attributes of pages commonly have for furniture.
 BAD_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising alert alerts banner banners breadcrumb "
-    "breadcrumbs captcha combx comment comments commentlist consent cookie cookies disqus "
+    "breadcrumbs captcha comment comments commentlist consent cookie cookies disqus "
     "dropdown footer footnav gdpr login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification outbrain paging pager pagination paywall popup promo promos "
-    "promotion recommended related replies reply respond share sharing shoutbox sidebar signup "
+    "promotion recommended related replies reply respond share sharing sidebar signup "
     "skip social sponsor sponsored sponsors submenu subscribe subscription taboola toolbar topbar "
     "widget widgets".split()
 )
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
+# Of the bad words, those that only readers' comments bear, and those that paragraphs bear as well.
+READERS_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
+WEAK_WORDS = frozenset("comment recommended related reply respond share sharing skip social".split())
+PROSE = frozenset("p pre blockquote".split()) | HEADINGS
 # Start tags that end an open element: the element ended, up to which enclosing elements.
 ENDED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -75,6 +79,10 @@ LEVELS = 5
 SIBLING_SHARE = 0.2
 LINK_LIST = 0.8
 LEAST_LINKS = 3
+DOUBT = 0.1
+LEAST_DOUBTED = 140
+WEAK_LINKS = 0.25
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\u0964\u06d4\u061f\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*\Z")
 
 
 class Page:
@@ -84,6 +92,11 @@ class Page:
         self.tag = [""]
         self.parent = [-1]
         self.out = [False]
+        # Whether an element is in doubt by its name, whether its words alone do not condemn prose, and
+        # whether it claims to be the article all the same.
+        self.doubted = [False]
+        self.weak = [False]
+        self.claims = [False]
         self.weight = [0.0]
         self.blocks: list[tuple[int, str, int]] = []
         self.links = [0]
@@ -157,11 +170,19 @@ class Page:
         if name in VOID:
             return
         above = self._stack[-1]
-        words = bad = None
-        out = self.out[above] or name in FURNITURE
+        words: set[str] = set()
+        claims = False
+        out = self.out[above] or name in FURNITURE or (name == "label" and self._open.get("form"))
+        doubted = name == "form"
         if not out and ("=" in rest or "hidden" in rest):
-            words, bad = self._described(name, rest)
-            out = out or bad
+            words, claims, out, form = self._described(rest)
+            doubted = doubted or form
+        bad = words & BAD_WORDS if name not in ("html", "body", "main") else frozenset()
+        if bad:
+            doubted = True
+            # Inline text cannot be taken out of its block later on.
+            out = out or name in INLINE
+            out = out or (name not in PROSE and bad & READERS_WORDS and not claims)
         if name == "header" and not out:
             # The header of an article is part of it, that of a page is not.
             out = not self._open.get("article")
@@ -169,7 +190,10 @@ class Page:
         self.tag.append(name)
         self.parent.append(above)
         self.out.append(bool(out))
-        self.weight.append(25.0 if words and words & GOOD_WORDS else 0.0)
+        self.doubted.append(doubted)
+        self.weak.append(name in PROSE and bad <= WEAK_WORDS)
+        self.claims.append(name == "article" or claims)
+        self.weight.append(25.0 if words & GOOD_WORDS else 0.0)
         self.links.append(0)
         if name == "a":
             self.links[above] += 1
@@ -178,24 +202,26 @@ class Page:
         self._stack.append(node)
         self._open[name] = self._open.get(name, 0) + 1
 
-    def _described(self, name: str, rest: str) -> tuple[set[str], bool]:
-        """Words of class and id, and whether the attributes put the element aside."""
+    def _described(self, rest: str) -> tuple[set[str], bool, bool, bool]:
+        """Words of class and id, whether a name among them has good words and no bad ones, whether the
+        attributes put the element aside, and whether they make a form of it."""
         words: set[str] = set()
-        bad = False
+        claims = bad = form = False
         for key, value in ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                value = CAMEL.sub("-", value).lower()
-                words.update(WORD.findall(QUALIFIED.sub(" ", value)))
+                for one in CAMEL.sub("-", value).lower().split():
+                    named = set(WORD.findall(QUALIFIED.sub(" ", one)))
+                    words |= named
+                    claims = claims or bool(named & GOOD_WORDS and not named & BAD_WORDS)
             elif key == "role":
                 bad = bad or value.lower() in ROLES
+                form = form or value.lower() == "form"
             elif key == "style":
                 bad = bad or bool(HIDDEN_STYLE.search(value))
             else:
                 bad = bad or key == "hidden" or value.lower() == "true"
-        if name in ("html", "body", "main"):
-            return words, False
-        return words, bad or bool(words & BAD_WORDS)
+        return words, claims, bad, form
 
     def _pop(self) -> str:
         name = self.tag[self._stack.pop()]
@@ -254,28 +280,44 @@ class Page:
             linked[node] += in_links
             points = (len(text) >= SHORT) + text.count(",") + min(len(text) / 100, 3.0)
             points *= 1 - in_links / max(1, len(text))
-            # A paragraph passes its points on; text straight in a container counts for it.
-            holder = self.parent[node] if self._is_paragraph(node) else node
+            # A paragraph passes its points on; text straight in a container counts for it. Nothing
+            # passes out of an element in doubt.
+            holder = node
+            if self._is_paragraph(node):
+                if self.doubted[node]:
+                    continue
+                holder = self.parent[node]
             for level in range(LEVELS):
                 if holder <= 0 and level:
                     break
                 share = 1.0 if level == 0 else 0.5 if level == 1 else 1 / (level * 3)
                 score[max(holder, 0)] += points * share
                 scored[max(holder, 0)] = True
+                if self.doubted[max(holder, 0)]:
+                    break
                 holder = self.parent[holder] if holder > 0 else -1
         for node in range(n - 1, 0, -1):
             above = self.parent[node]
-            length[above] += length[node]
-            linked[above] += linked[node]
             links[above] += links[node]
+            if not self.doubted[node]:
+                length[above] += length[node]
+                linked[above] += linked[node]
         density = [linked[i] / length[i] if length[i] else 0.0 for i in range(n)]
+        trust = self._trust(length, linked)
         final = [
-            score[i] * (1 - density[i]) if scored[i] and not self.out[i] else 0.0 for i in range(n)
+            score[i] * (1 - density[i]) * trust[i] if scored[i] and not self.out[i] else 0.0
+            for i in range(n)
         ]
         best = max(range(n), key=lambda i: (final[i], -i))
+        around = {best}
+        at = best
+        while at > 0:
+            at = self.parent[at]
+            around.add(at)
         best = self._promoted(best)
         kept[best] = True
         self._keep_siblings(best, final, length, density, kept)
+        whole_sentence = self._whole_sentences(density)
         for node in range(1, n):
             above = self.parent[node]
             menu = (
@@ -284,9 +326,32 @@ class Page:
                 and density[node] > LINK_LIST
             )
             inherits = kept[above] and (above != 0 or best == 0)
-            kept[node] = (kept[node] or inherits) and not self.out[node] and not menu
+            aside = self.doubted[node] and node not in around and not whole_sentence[node]
+            kept[node] = (kept[node] or inherits) and not (self.out[node] or menu or aside)
         return kept
 
+    def _trust(self, length: list[int], linked: list[int]) -> list[float]:
+        """What the score of each element counts for: less with each element in doubt around it, and
+        nothing if the innermost of these neither claims to be the article nor holds much text."""
+        trust = [1.0] * len(self.tag)
+        for node in range(1, len(self.tag)):
+            above = trust[self.parent[node]] or DOUBT
+            if not self.doubted[node]:
+                trust[node] = trust[self.parent[node]]
+            elif self.claims[node] or length[node] - linked[node] >= LEAST_DOUBTED:
+                trust[node] = above * DOUBT
+            else:
+                trust[node] = 0.0
+        return trust
+
+    def _whole_sentences(self, density: list[float]) -> list[bool]:
+        """Prose in doubt by a weak word alone that reads like a part of the article."""
+        found = [False] * len(self.tag)
+        for node, text, _ in self.blocks:
+            if self.doubted[node] and self.weak[node] and density[node] < WEAK_LINKS:
+                found[node] = len(text) >= SHORT and bool(SENTENCE_END.search(text))
+        return found
+
     def _is_paragraph(self, node: int) -> bool:
         return self.tag[node] in HEADINGS or self.tag[node] in (
             "p", "pre", "blockquote", "li", "dd", "dt", "td", "figcaption", "tr", "address"
@@ -310,7 +375,7 @@ class Page:
         least = max(10.0, final[best] * SIBLING_SHARE)
         heading = -1
         for node in range(above + 1, len(self.tag)):
-            if self.parent[node] != above or self.out[node] or node == best:
+            if self.parent[node] != above or self.out[node] or self.doubted[node] or node == best:
                 continue
             if node < best:
                 heading = node if self.tag[node] == "h1" else -1
@@ -330,12 +395,14 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """All rows and columns of ``pages`` with the main text in column ``text`` (replaced if there).
 
-    Menus, headers, footers, asides, forms, scripts, styles, hidden elements and whatever class or id
-    names as furniture or reader comments are put aside. Each block of the rest gives points for
-    its length and commas, less its share of links, to the elements around it; the best element
-    (or the article around it) is kept with siblings that score near it. Null and empty html
-    give an empty text; ties go to the outer, earlier element; repeated rows give the same; an
-    empty table gives no rows. Work is linear in the page.
+    Menus, headers, footers, asides, scripts, styles, hidden elements and lists of reader comments are
+    put aside. Each block of the rest gives points for its length and commas, less its share of
+    links, to the elements around it; the best element (or the article around it) is kept with
+    siblings that score near it. Forms, and elements that class or id names as furniture, are in
+    doubt: no points pass out of them, scores inside count for a tenth, and they go unless the best
+    element lies in them. A paragraph in doubt by a weak word only stays if it is a sentence of the
+    article. Null and empty html give an empty text; ties go to the outer, earlier element; repeated
+    rows give the same; an empty table gives no rows. Work is linear in the page.
     """
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
