@@ -8,35 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.text import lower_ascii, whole
+from panelcast.llm.licence_templates import TEMPLATES
+from panelcast.llm.text import bind, lower_ascii, whole
 from panelcast.sources.scratch import Scratch
 
-# Opening words by which licences are stated.
-TEMPLATES = [
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        "software and associated documentation files",
-    ),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
-]
 MARKER = (
     r"(?i)licen[cs]e|copyright|copyleft|redistribut|permission is hereby|public domain|spdx"
+    r"|creative commons|cc0|\bcc[ -]by"
 )
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+# What begins a comment line, and what lies between blocks of lines.
+LEADER = r"(^|\n)[\x20\t#*;%/!<>-]+"
+GAP = r"\n(?:[\x20\t\r]*\n)+"
+SPDX = r"spdx-license-identifier:[\x20\t(]*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
-LEAST_COSINE = 0.5
+LEAST_COSINE = 0.7
+LEAST_MARGIN = 0.01
+COMMON = 0.3
 DIGITS = 6
 
 
@@ -49,7 +37,31 @@ def template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> Data
 
 
 def _terms(line: str) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.col(line)), F.lit(TERM), F.lit(0))
+    """Words and numbers; an identifier after the SPDX tag is one term with it."""
+    plain = F.regexp_replace(lower_ascii(F.col(line)), SPDX, "spdx-")
+    return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
+
+
+def _without_leaders(text: Column) -> Column:
+    return F.regexp_replace(text, LEADER, "$1")
+
+
+def _headers(text: Column, is_licence_file: Column) -> Column:
+    """Marked lines, marked blocks of adjoining lines, and the whole text of a licence file, all
+    without the signs of comments. A blank comment line ends one kind of block and not the other."""
+    marked = lambda x: F.rlike(x, F.lit(MARKER))
+    none = F.array().cast("array<string>")
+    found = bind(
+        _without_leaders(text),
+        lambda plain: F.concat(
+            F.filter(F.split(plain, "\n", -1), marked),
+            F.filter(F.split(plain, GAP, -1), marked),
+            F.filter(F.transform(F.split(text, GAP, -1), _without_leaders), marked),
+            F.when(is_licence_file, F.array(plain)).otherwise(none),
+        ),
+    )
+    trimmed = F.transform(found, lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    return F.when(marked(text), F.array_distinct(trimmed)).otherwise(none)
 
 
 def _counted(units: DataFrame, key: str) -> DataFrame:
@@ -84,14 +96,17 @@ def scan_licenses(
     scratch: Scratch,
     templates: list[tuple[str, str]] = TEMPLATES,
     least_cosine: float = LEAST_COSINE,
+    least_margin: float = LEAST_MARGIN,
 ) -> DataFrame:
     """``file_id, path, own_license, score, license, found_in`` for every row ``(file_id, path,
     text)`` of ``files``.
 
-    Every line of a text that mentions licensing is a header, and the whole text of a licence file is
-    one more. A header's best template by the cosine of TF-IDF vectors (ties to the smaller name)
-    is the file's own licence if the cosine reaches ``least_cosine``; document frequencies are counted
-    over all headers of all files and the templates. A file without one takes that of the
+    Every line of a text that mentions licensing is a header, every block of adjoining lines with such a
+    line is one, and so is the whole text of a licence file; signs of comments are left out. A header's
+    best template by the cosine of TF-IDF vectors (ties to the smaller name) is the file's own licence if
+    the cosine reaches ``least_cosine`` and is by ``least_margin`` above that of any other licence.
+    Document frequencies are counted over all headers of all files and the templates; a term of the
+    templates weighs the more the fewer licences use it. A file without a licence takes that of the
     nearest directory above it (its own first) with a licence file, of several the one that scores
     best; ``found_in`` is the directory. Null texts and paths count as empty: no header, and the top
     directory. Repeated rows come out repeated; without headers nothing is found; an empty table
@@ -107,32 +122,32 @@ def scan_licenses(
         whole("text").alias("text"),
     )
     is_licence_file = F.rlike(F.col("path"), F.lit(LICENCE_FILE))
-    marked = F.rlike(F.col("text"), F.lit(MARKER))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(MARKER)))
-    none = F.array().cast("array<string>")
-    headers = F.when(
-        marked, F.concat(lines, F.when(is_licence_file, F.array("text")).otherwise(none))
-    ).otherwise(none)
     found = scratch.save(
         named.select(
             "file_id",
             "path",
             parent(F.col("path")).alias("directory"),
             is_licence_file.alias("is_licence_file"),
-            F.array_distinct(headers).alias("headers"),
+            F.transform(
+                _headers(F.col("text"), is_licence_file),
+                lambda x: F.struct(F.sha2(x, 256).alias("unit"), x.alias("line")),
+            ).alias("headers"),
         ),
         "headers",
     )
     units = scratch.save(
-        found.select(F.explode("headers").alias("line"))
-        .groupBy("line")
-        .agg(F.count("*").alias("copies")),
+        found.select(F.explode("headers").alias("h"))
+        .select("h.*")
+        .groupBy("unit")
+        .agg(F.any_value("line").alias("line"), F.count("*").alias("copies")),
         "units",
     )
-    best = scratch.save(_best_templates(spark, units, templates, least_cosine), "best")
+    best = scratch.save(
+        _best_templates(spark, units, templates, least_cosine, least_margin), "best"
+    )
     own = (
-        found.select("file_id", "path", F.explode("headers").alias("line"))
-        .join(best, "line")
+        found.select("file_id", "path", F.explode("headers.unit").alias("unit"))
+        .join(best, "unit")
         .groupBy("file_id", "path")
         .agg(F.max(F.struct("score", "rank", "license")).alias("own"))
         .select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "own")
@@ -176,18 +191,21 @@ def scan_licenses(
 
 
 def _best_templates(
-    spark: SparkSession, units: DataFrame, templates: list[tuple[str, str]], least_cosine: float
+    spark: SparkSession,
+    units: DataFrame,
+    templates: list[tuple[str, str]],
+    least_cosine: float,
+    least_margin: float,
 ) -> DataFrame:
-    """``line, license, score, rank`` of the headers that reach the cosine.
+    """``unit, license, score, rank`` of the headers that reach the cosine and the margin.
 
     The templates, and with them their postings, are a parameter of a few hundred rows at most: these
     alone are broadcast.
     """
-    numbered = units.withColumn("unit", F.xxhash64("line"))
     given = template_rows(spark, templates)
-    in_units, in_templates = _counted(numbered, "unit"), _counted(given, "template")
+    in_units, in_templates = _counted(units, "unit"), _counted(given, "template")
     seen = (
-        in_units.join(numbered.select("unit", "copies"), "unit")
+        in_units.join(units.select("unit", "copies"), "unit")
         .groupBy("term")
         .agg(F.sum("copies").alias("df"))
         .unionByName(in_templates.groupBy("term").agg(F.count("*").alias("df")))
@@ -195,8 +213,15 @@ def _best_templates(
         .agg(F.sum("df").alias("df"))
     )
     total = units.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] + len(templates)
-    idf = seen.select(
-        "term", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    n_licenses = len({name for name, _ in templates})
+    users = (
+        in_templates.join(F.broadcast(given.select("template", "license")), "template")
+        .groupBy("term")
+        .agg(F.count_distinct("license").alias("users"))
+    )
+    telling = F.coalesce(F.log(F.lit(n_licenses + 1) / (F.col("users") + 1)) + COMMON, F.lit(1.0))
+    idf = seen.join(F.broadcast(users), "term", "left").select(
+        "term", ((F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1) * telling).alias("idf")
     )
     weigh = F.col("tf") * F.col("idf")
     unit_weights = in_units.join(idf, "term").select("unit", "term", weigh.alias("w"))
@@ -218,8 +243,15 @@ def _best_templates(
         .join(F.broadcast(template_norms), "template")
         .join(F.broadcast(given.select("template", "license")), "template")
         .select("unit", "license", cosine.alias("score"), (-F.col("template")).alias("rank"))
-        .filter(F.col("score") >= least_cosine)
+        .filter(F.col("score") >= least_cosine - least_margin)
+        .groupBy("unit", "license")
+        .agg(F.max(F.struct("score", "rank")).alias("top"))
+        # At most one entry per licence.
         .groupBy("unit")
-        .agg(F.max(F.struct("score", "rank", "license")).alias("best"))
+        .agg(F.sort_array(F.collect_list(F.struct("top.*", "license")), asc=False).alias("best"))
+    )
+    best, second = F.col("best")[0], F.coalesce(F.get("best", F.lit(1))["score"], F.lit(0.0))
+    clear = F.round(best["score"] - second, DIGITS) >= least_margin
+    return scored.filter((best["score"] >= least_cosine) & clear).select(
+        "unit", best["license"].alias("license"), best["score"].alias("score"), best["rank"].alias("rank")
     )
-    return numbered.join(scored, "unit").select("line", "best.license", "best.score", "best.rank")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from panelcast.llm.licenses import TEMPLATES, TERM
+from panelcast.llm.licence_templates import TEMPLATES
+from panelcast.llm.licenses import GAP, LEADER, SPDX, TERM
 from panelcast.llm.quality import BOILERPLATE, SENTENCE_MARKS, SYMBOLS
 from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
@@ -119,8 +120,19 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 """
 
 
-GIVEN = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
-LINE_MARKER = "(?i)licen[cs]e|copyright|copyleft|redistribut|permission is hereby|public domain|spdx"
+GIVEN = ", ".join(
+    "({}, '{}', '{}')".format(i, name, text.replace("'", "''"))
+    for i, (name, text) in enumerate(TEMPLATES)
+)
+N_LICENSES = len({name for name, _ in TEMPLATES})
+
+
+def _license_terms(line: str) -> str:
+    lowered = f"translate({line}, '{UPPER}', '{LOWER}')"
+    return f"regexp_extract_all(regexp_replace({lowered}, '{SPDX}', 'spdx-', 'g'), '{TERM}')"
+
+
+LINE_MARKER = r"(?i)licen[cs]e|copyright|copyleft|redistribut|permission is hereby|public domain|spdx|creative commons|cc0|\bcc[ -]by"
 
 OP8 = f"""
 WITH f AS (SELECT doc_id, coalesce(text, '') AS text, length(text) <= 300 AS is_file,
@@ -128,22 +140,30 @@ WITH f AS (SELECT doc_id, coalesce(text, '') AS text, length(text) <= 300 AS is_
         ELSE CAST(doc_id // 64 AS VARCHAR) END) AS directory,
     CASE WHEN length(text) <= 300 THEN 'LICENSE.' ELSE 'text.' END || doc_id AS name
     FROM documents),
-h AS (SELECT DISTINCT doc_id, line FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f
-    UNION ALL SELECT doc_id, text FROM f WHERE is_file)
+m AS (SELECT doc_id, text, is_file, regexp_replace(text, '{LEADER}', '\\1', 'g') AS plain
+    FROM f WHERE regexp_matches(text, '{LINE_MARKER}')),
+h AS (SELECT DISTINCT doc_id, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM (
+    SELECT doc_id, unnest(string_split(plain, chr(10))) AS line FROM m
+    UNION ALL SELECT doc_id, unnest(string_split_regex(plain, '{GAP}')) FROM m
+    UNION ALL SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '{GAP}')), '{LEADER}', '\\1', 'g')
+        FROM m
+    UNION ALL SELECT doc_id, plain FROM m WHERE is_file)
     WHERE regexp_matches(line, '{LINE_MARKER}')),
 u AS (SELECT line, count(*) AS copies FROM h GROUP BY line),
 t(template, license, line) AS (VALUES {GIVEN}),
 ut AS (SELECT line, copies, term, count(*) AS tf FROM (SELECT line, copies,
-    unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM u)
+    unnest({_license_terms("line")}) AS term FROM u)
     GROUP BY line, copies, term),
 tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template,
-    unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM t)
+    unnest({_license_terms("line")}) AS term FROM t)
     GROUP BY template, term),
+users AS (SELECT term, count(DISTINCT license) AS n FROM tt JOIN t USING (template) GROUP BY term),
 df AS (SELECT term, sum(df) AS df FROM (SELECT term, sum(copies) AS df FROM ut GROUP BY term
     UNION ALL SELECT term, count(*) AS df FROM tt GROUP BY term) GROUP BY term),
-idf AS (SELECT term, ln(((SELECT coalesce(sum(copies), 0) FROM u) + {len(TEMPLATES)} + 1)
-    / CAST(df + 1 AS DOUBLE)) + 1 AS idf FROM df),
+idf AS (SELECT term, (ln(((SELECT coalesce(sum(copies), 0) FROM u) + {len(TEMPLATES)} + 1)
+    / CAST(df + 1 AS DOUBLE)) + 1)
+    * coalesce(ln({N_LICENSES + 1} / CAST(n + 1 AS DOUBLE)) + 0.3, 1.0) AS idf
+    FROM df LEFT JOIN users USING (term)),
 uw AS (SELECT line, term, tf * idf AS w FROM ut JOIN idf USING (term)),
 tw AS (SELECT template, term, tf * idf AS tw FROM tt JOIN idf USING (term)),
 un AS (SELECT line, sqrt(sum(w * w)) AS norm FROM uw GROUP BY line),
@@ -151,9 +171,14 @@ tn AS (SELECT template, sqrt(sum(tw * tw)) AS t_norm FROM tw GROUP BY template),
 s AS (SELECT line, template, round(sum(w * tw) / (any_value(norm) * any_value(t_norm)), 6) AS score
     FROM uw JOIN tw USING (term) JOIN un USING (line) JOIN tn USING (template)
     GROUP BY line, template),
+sl AS (SELECT s.line, license, max(score) AS score, arg_min(template, (-score, template)) AS template
+    FROM s JOIN t USING (template) GROUP BY s.line, license),
+sb AS (SELECT *, row_number() OVER w AS place, lead(score, 1, 0.0) OVER w AS second
+    FROM sl WINDOW w AS (PARTITION BY line ORDER BY score DESC, template)),
 best AS (SELECT doc_id, license, score, template, row_number() OVER
     (PARTITION BY doc_id ORDER BY score DESC, template) AS place
-    FROM h JOIN s USING (line) JOIN t USING (template) WHERE score >= 0.5),
+    FROM h JOIN sb USING (line)
+    WHERE sb.place = 1 AND score >= 0.7 AND round(score - second, 6) >= 0.01),
 j AS (SELECT f.doc_id, f.directory || '/' || f.name AS path, f.directory, f.is_file, b.license AS own_license, b.score, b.template
     FROM f LEFT JOIN best AS b ON f.doc_id = b.doc_id AND b.place = 1),
 stated AS (SELECT directory, own_license, row_number() OVER

@@ -1,4 +1,5 @@
-from panelcast.llm.licenses import TEMPLATES, scan_licenses
+from panelcast.llm.licence_templates import BSD_THIRD, BSD_TWO, BSD_WARRANTY, MIT_GRANT, MIT_REST, TEMPLATES
+from panelcast.llm.licenses import scan_licenses
 
 ROWS = [
     (1, "a/LICENSE", "Released under the MIT License."),
@@ -40,7 +41,73 @@ def test_templates_find_themselves(spark, scratch):
     rows = [(i, f"d{i}/f", text) for i, (_, text) in enumerate(TEMPLATES)]
     files = spark.createDataFrame(rows, "file_id long, path string, text string")
     for row in scan_licenses(files, scratch).collect():
-        assert row["license"] == TEMPLATES[row["file_id"]][0] and row["score"] == 1.0
+        assert (row["license"], row["score"]) == (TEMPLATES[row["file_id"]][0], 1.0)
+
+
+GPL = """/*
+ * Copyright (C) 2020 A. Writer
+ *
+ * This program is free software; you can redistribute it and/or modify it
+ * under the terms of the GNU General Public License as published by the Free
+ * Software Foundation; either version %s of the License, or (at your option)
+ * any later version.
+ *
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY
+ * WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+ * PARTICULAR PURPOSE.
+ */
+int main() { return 0; }
+"""
+APACHE = """# Copyright 2021 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     https://www.apache.org/licenses/LICENSE-2.0
+
+import os
+"""
+STATED = [
+    ("GNU GENERAL PUBLIC LICENSE\n     Version 2, June 1991\n\n Everyone may copy this.", "GPL-2.0"),
+    ("     GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n\n Preamble", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nx", "LGPL-2.1"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+    ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */\nint x;", "GPL-2.0"),
+    ("<!-- SPDX-License-Identifier: MIT -->", "MIT"),
+    ("# SPDX-License-Identifier: Foo-1.0", None),
+    (GPL % 2, "GPL-2.0"),
+    (GPL % 3, "GPL-3.0"),
+    (GPL.replace("GNU General", "GNU Lesser General") % 3, "LGPL-3.0"),
+    (GPL.replace("GNU General", "GNU Affero General") % 3, "AGPL-3.0"),
+    (APACHE, "Apache-2.0"),
+    (f"Copyright 2020 X. All rights reserved.\n\n{BSD_TWO}\n\n{BSD_WARRANTY}", "BSD-2-Clause"),
+    ("This is under the GNU General Public License v2 or newer.", "GPL-2.0"),
+    (f"/*\n * Copyright 2020 X\n *\n * {BSD_TWO}\n *\n * {BSD_THIRD}\n *\n * {BSD_WARRANTY}\n */", "BSD-3-Clause"),
+    (f"MIT License\n\nCopyright (c) 2020 X\n\n{MIT_GRANT}\n\n{MIT_REST}", "MIT"),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the "
+        "MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "MPL-2.0",
+    ),
+    ("This project is licensed under the Apache License, Version 2.0; see the LICENSE file.", "Apache-2.0"),
+    # Near misses: another licence, no version, no licence, prose.
+    ("Licensed under the Foo License, Version 2.0.", None),
+    ("This is under the GNU General Public License.", "GPL"),
+    ("Copyright 2020 X. All rights reserved.", None),
+    ("The general public needs a license to drive version 2 of the car.", None),
+    ("You may redistribute and use this in any form you like.", None),
+]
+
+
+def test_texts_headers_and_identifiers(spark, scratch):
+    rows = [(i, f"d{i}/x.c", text) for i, (text, _) in enumerate(STATED)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    found = {r["file_id"]: (r["license"], r["score"]) for r in scan_licenses(files, scratch).collect()}
+    wrong = {t[:50]: (n, found[i]) for i, (t, n) in enumerate(STATED) if found[i][0] != n}
+    assert wrong == {}
 
 
 def test_no_headers_and_no_files(spark, scratch):
