@@ -17,9 +17,11 @@ MARKER = (
     r"|creative commons|cc0|\bcc[ -]by"
 )
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-# What begins a comment line, and what lies between blocks of lines.
-LEADER = r"(^|\n)[\x20\t#*;%/!<>-]+"
+# What begins a comment line, what is taken off every line, and what parts blocks of lines.
+COMMENT = r"^[\x20\t]*(?:[#*;%]|//|/\*|--|<!--)"
+LEADER = r"^[\x20\t#*;%/!<>-]+"
 GAP = r"\n(?:[\x20\t\r]*\n)+"
+RUN_END = r"\n\n+"
 SPDX = r"spdx-license-identifier:[\x20\t(]*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 LEAST_COSINE = 0.7
@@ -42,23 +44,42 @@ def _terms(line: str) -> Column:
     return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
 
 
-def _without_leaders(text: Column) -> Column:
-    return F.regexp_replace(text, LEADER, "$1")
-
-
 def _headers(text: Column, is_licence_file: Column) -> Column:
-    """Marked lines, marked blocks of adjoining lines, and the whole text of a licence file, all
-    without the signs of comments. A blank comment line ends one kind of block and not the other."""
+    """What states a licence, without the signs of comments: every marked line, alone, with the next,
+    and with both its neighbours; marked runs of comment lines, and the parts of these between blank
+    comment lines; the whole text of a licence file and its marked blocks."""
     marked = lambda x: F.rlike(x, F.lit(MARKER))
+    plain = lambda x: F.regexp_replace(x, LEADER, "")
+    # A line that is no comment is empty, and a blank comment line is not.
+    remark = lambda x: F.when(
+        F.rlike(x, F.lit(COMMENT)), F.concat(F.lit(" "), plain(x))
+    ).otherwise(F.lit(""))
     none = F.array().cast("array<string>")
-    found = bind(
-        _without_leaders(text),
-        lambda plain: F.concat(
-            F.filter(F.split(plain, "\n", -1), marked),
-            F.filter(F.split(plain, GAP, -1), marked),
-            F.filter(F.transform(F.split(text, GAP, -1), _without_leaders), marked),
-            F.when(is_licence_file, F.array(plain)).otherwise(none),
-        ),
+
+    def around(lines: Column) -> Column:
+        def beside(x: Column, i: Column) -> Column:
+            after = F.get(lines, i + 1)
+            return F.when(
+                marked(x),
+                F.array(
+                    x, F.concat_ws("\n", x, after), F.concat_ws("\n", F.get(lines, i - 1), x, after)
+                ),
+            ).otherwise(none)
+
+        return F.flatten(F.transform(lines, beside))
+
+    def blocks(joined: Column, *ends: str) -> Column:
+        return F.filter(F.concat(*[F.split(joined, end, -1) for end in ends]), marked)
+
+    raw = F.split(text, "\n", -1)
+    remarks = F.array_join(F.transform(raw, remark), "\n")
+    whole_file = lambda x: F.concat(F.array(x), blocks(x, GAP))
+    found = F.concat(
+        bind(F.transform(raw, plain), around),
+        bind(remarks, lambda x: blocks(x, RUN_END, GAP)),
+        F.when(
+            is_licence_file, bind(F.array_join(F.transform(raw, plain), "\n"), whole_file)
+        ).otherwise(none),
     )
     trimmed = F.transform(found, lambda x: F.btrim(x, F.lit(" \t\r\n")))
     return F.when(marked(text), F.array_distinct(trimmed)).otherwise(none)
@@ -101,8 +122,8 @@ def scan_licenses(
     """``file_id, path, own_license, score, license, found_in`` for every row ``(file_id, path,
     text)`` of ``files``.
 
-    Every line of a text that mentions licensing is a header, every block of adjoining lines with such a
-    line is one, and so is the whole text of a licence file; signs of comments are left out. A header's
+    Every line of a text that mentions licensing is a header, alone and with its neighbours; so is every
+    run of comment lines with such a line, and the whole text of a licence file and its blocks. A header's
     best template by the cosine of TF-IDF vectors (ties to the smaller name) is the file's own licence if
     the cosine reaches ``least_cosine`` and is by ``least_margin`` above that of any other licence.
     Document frequencies are counted over all headers of all files and the templates; a term of the

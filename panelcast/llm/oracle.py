@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelcast.llm.licence_templates import TEMPLATES
-from panelcast.llm.licenses import GAP, LEADER, SPDX, TERM
+from panelcast.llm.licenses import COMMENT, GAP, LEADER, RUN_END, SPDX, TERM
 from panelcast.llm.quality import BOILERPLATE, SENTENCE_MARKS, SYMBOLS
 from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
@@ -140,14 +140,24 @@ WITH f AS (SELECT doc_id, coalesce(text, '') AS text, length(text) <= 300 AS is_
         ELSE CAST(doc_id // 64 AS VARCHAR) END) AS directory,
     CASE WHEN length(text) <= 300 THEN 'LICENSE.' ELSE 'text.' END || doc_id AS name
     FROM documents),
-m AS (SELECT doc_id, text, is_file, regexp_replace(text, '{LEADER}', '\\1', 'g') AS plain
+m AS (SELECT doc_id, is_file,
+    list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{LEADER}', '')) AS lines,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda x:
+        CASE WHEN regexp_matches(x, '{COMMENT}') THEN ' ' || regexp_replace(x, '{LEADER}', '') ELSE '' END),
+        chr(10)) AS remarks
     FROM f WHERE regexp_matches(text, '{LINE_MARKER}')),
+l AS (SELECT *, lines[i] AS line, CASE WHEN i > 1 THEN lines[i - 1] END AS before, lines[i + 1] AS after
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM m)
+    WHERE regexp_matches(lines[i], '{LINE_MARKER}')),
 h AS (SELECT DISTINCT doc_id, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM (
-    SELECT doc_id, unnest(string_split(plain, chr(10))) AS line FROM m
-    UNION ALL SELECT doc_id, unnest(string_split_regex(plain, '{GAP}')) FROM m
-    UNION ALL SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '{GAP}')), '{LEADER}', '\\1', 'g')
-        FROM m
-    UNION ALL SELECT doc_id, plain FROM m WHERE is_file)
+    SELECT doc_id, line FROM l
+    UNION ALL SELECT doc_id, concat_ws(chr(10), line, after) FROM l
+    UNION ALL SELECT doc_id, concat_ws(chr(10), before, line, after) FROM l
+    UNION ALL SELECT doc_id, unnest(string_split_regex(remarks, '{RUN_END}')) FROM m
+    UNION ALL SELECT doc_id, unnest(string_split_regex(remarks, '{GAP}')) FROM m
+    UNION ALL SELECT doc_id, unnest(string_split_regex(array_to_string(lines, chr(10)), '{GAP}'))
+        FROM m WHERE is_file
+    UNION ALL SELECT doc_id, array_to_string(lines, chr(10)) FROM m WHERE is_file)
     WHERE regexp_matches(line, '{LINE_MARKER}')),
 u AS (SELECT line, count(*) AS copies FROM h GROUP BY line),
 t(template, license, line) AS (VALUES {GIVEN}),
