@@ -107,15 +107,48 @@ plan AS (SELECT *,
     CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
     CASE WHEN source_size > 0
          THEN target / source_size - floor(target / source_size) ELSE 0.0 END AS part FROM aims),
-ranked AS (SELECT d.*, p.source_size, p.target, p.whole, p.part,
-    p.target - p.whole * p.source_size AS missing,
-    CASE WHEN p.part > 0 THEN (u / (1 - u)) / (p.part / (1 - p.part)) END AS odds
-    FROM d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto,
-    sum(size) OVER (PARTITION BY source, odds, doc_id) AS words FROM ranked),
-chosen AS (SELECT *,
-    whole + CASE WHEN part > 0 AND size > 0 AND upto - words / 2.0 <= missing THEN 1 ELSE 0 END
-        AS copies FROM summed)
+classes AS (SELECT source, CAST(length(bin(size)) AS BIGINT) AS digits, sum(size) AS words
+    FROM d WHERE size > 0 GROUP BY ALL),
+falling AS (SELECT c.source, digits, greatest((target - whole * source_size
+    - coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY digits DESC
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(digits * words) OVER (PARTITION BY c.source ORDER BY digits DESC
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS level
+    FROM classes AS c JOIN plan AS p ON c.source IS NOT DISTINCT FROM p.source AND part > 0),
+levels AS (SELECT source, max(level) AS level FROM falling WHERE level * digits <= 1 GROUP BY source),
+leveled AS (SELECT p.*, coalesce(level, 0.0) AS level
+    FROM plan AS p LEFT JOIN levels AS l ON p.source IS NOT DISTINCT FROM l.source),
+chances AS (SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
+    CASE WHEN size > 0 THEN least(1.0, level * length(bin(size))) ELSE 0.0 END AS p
+    FROM d JOIN leveled AS p ON d.source IS NOT DISTINCT FROM p.source),
+ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0.0
+    WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM chances),
+summed AS (SELECT *, odds IS NOT NULL AND
+    sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id, size) <= missing
+    AS sampled FROM ranked),
+gaps AS (SELECT source, any_value(missing) - coalesce(sum(size) FILTER (WHERE sampled), 0) AS open
+    FROM summed GROUP BY source),
+keys AS (SELECT source, odds, doc_id, size, sum(size) AS words FROM summed
+    WHERE odds IS NOT NULL AND NOT sampled GROUP BY ALL),
+firsts AS (SELECT k.*, open, row_number() OVER (PARTITION BY k.source, size ORDER BY odds, doc_id)
+    AS place FROM keys AS k JOIN gaps AS g ON k.source IS NOT DISTINCT FROM g.source AND size <= open),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS nr FROM firsts
+    WHERE place = 1 AND words <= open),
+f2 AS (SELECT f.* REPLACE (a.open - a.words AS open,
+    row_number() OVER (PARTITION BY f.source ORDER BY f.size DESC) AS nr)
+    FROM (SELECT *, 0 AS nr FROM firsts WHERE place = 1) AS f
+    JOIN f1 AS a ON f.source IS NOT DISTINCT FROM a.source AND a.nr = 1
+    WHERE f.size < a.size AND f.words <= a.open - a.words),
+f3 AS (SELECT f.* REPLACE (a.open - a.words AS open,
+    row_number() OVER (PARTITION BY f.source ORDER BY f.size DESC) AS nr)
+    FROM (SELECT *, 0 AS nr FROM firsts WHERE place = 1) AS f
+    JOIN f2 AS a ON f.source IS NOT DISTINCT FROM a.source AND a.nr = 1
+    WHERE f.size < a.size AND f.words <= a.open - a.words),
+fills AS (SELECT source, doc_id, size, true AS filled FROM (
+    FROM f1 UNION ALL BY NAME FROM f2 UNION ALL BY NAME FROM f3) WHERE nr = 1),
+chosen AS (SELECT s.*, whole + CASE WHEN sampled OR filled THEN 1 ELSE 0 END AS copies
+    FROM summed AS s LEFT JOIN fills AS f ON s.source IS NOT DISTINCT FROM f.source
+        AND s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.size = f.size)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM chosen
 """
 
