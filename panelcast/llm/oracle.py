@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelcast.llm.licence_templates import TEMPLATES
 from panelcast.llm.licenses import COMMENT, GAP, LEADER, RUN_END, SPDX, TERM
-from panelcast.llm.quality import BOILERPLATE, SENTENCE_MARKS, SYMBOLS
+from panelcast.llm.quality import BOILERPLATE, CLAUSE_MARKS, SYMBOLS, TERMINATORS
 from panelcast.llm.url_filter import RULES, SOFT, STRICT
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,9 +19,24 @@ def _count(column: str, characters: str) -> str:
     return f"(length({column}) - length({counted}))"
 
 
+def _plain_count(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+# Separators besides the bar. Patterns here cannot look around: letters and spaces are doubled, so
+# that each separator has neighbours of its own, and dots between two letters are subtracted.
+LETTERS_DOUBLED = r"regexp_replace(line, '(\p{L})', '\1\1', 'g')"
+SPACES_DOUBLED = rf"regexp_replace(' ' || line || ' ', '({SPACE_CLASS})', '\1\1', 'g')"
+OTHER_SEPARATORS = (
+    f"({_plain_count('line', '[»›→▸▶❯•‣∙⋅·]')}"
+    + f" - {_plain_count(LETTERS_DOUBLED, r'\p{L}·\p{L}')}"
+    + f" + {_plain_count(SPACES_DOUBLED, f'{SPACE_CLASS}/{SPACE_CLASS}')})"
+)
+ALL_SEPARATORS = f"""({_count("line", "|")} + {OTHER_SEPARATORS} - {_count("line", "«‹")})"""
+
 PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
 
-OP3 = f"""
+OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM d),
 starts AS (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
@@ -30,15 +45,19 @@ twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS n FRO
           WHERE n >= 2),
 covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(8) AS o(j) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-measured AS (SELECT r, line, len(regexp_extract_all(line, '{WORD}')) AS n,
+measured AS (SELECT r, line, regexp_extract_all(line, '{WORD}') AS said,
                     length(regexp_replace(line, '{SPACE_CLASS}', '', 'g')) AS chars FROM lines),
+told AS (SELECT *, len(said) AS n FROM measured),
 judged AS (SELECT *,
     {_count("line", SYMBOLS)} * 10 > chars
     OR ((length(line) - length(replace(line, '!!', ''))) // 2 >= 2
         AND (length(line) - length(replace(line, '!!', ''))) // 2 * 5 > n)
-    OR (n >= 30 AND {_count("line", SENTENCE_MARKS)} = 0)
+    OR (n >= 30 AND NOT regexp_matches(line, '[{TERMINATORS}]')
+        AND (NOT regexp_matches(line, '[{CLAUSE_MARKS}]') OR len(list_distinct(said)) * 2 < n))
     OR ({_count("line", "|")} >= 3 AND {_count("line", "|")} * 5 > n)
-    OR (n <= 30 AND ({PHRASES})) AS fails FROM measured),
+    OR ({OTHER_SEPARATORS} > 0 AND regexp_matches(line, '\p{{L}}{{2}}')
+        AND {ALL_SEPARATORS} >= 3 AND {ALL_SEPARATORS} * 5 > n)
+    OR (n <= 30 AND ({PHRASES})) AS fails FROM told),
 per AS (SELECT r, CAST(sum(chars) AS BIGINT) AS word_chars,
     CAST(sum(CASE WHEN fails THEN 0 ELSE chars END) AS BIGINT) AS kept_chars,
     count(*) FILTER (WHERE fails) AS n_failed_lines,

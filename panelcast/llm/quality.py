@@ -30,8 +30,8 @@ BOILERPLATE = [
     "terms of service",
     "terms of use",
 ]
-# The sentence marks that the SQL counts; those of its languages.
-SENTENCE_MARKS = ".!?…:;。"
+# What a line with a sentence mark mostly has; looked for before the long class.
+COMMON_MARKS = ".!?"
 # Unicode's property Sentence_Terminal, which Java's patterns do not name, and colons and semicolons
 # of other scripts.
 TERMINATORS = (
@@ -99,6 +99,7 @@ def _line_fails(
         | (F.contains(line, F.lit("!!")) & (shouts >= 2) & (shouts * 100 > n * rules.shout_percent))
         | (
             (n >= rules.unmarked_words)
+            & ~F.rlike(line, F.lit(f"[{COMMON_MARKS}]"))
             & ~F.rlike(line, F.lit(f"[{TERMINATORS}]"))
             & (
                 ~F.rlike(line, F.lit(f"[{CLAUSE_MARKS}]"))
@@ -111,7 +112,9 @@ def _line_fails(
         & (bars >= rules.bars)
         & (bars * 100 > n * rules.bar_percent)
     ) | (
-        F.rlike(line, F.lit(SEPARATORS))
+        # All separators but the slash lie outside ASCII, and take more than one byte.
+        (F.contains(line, F.lit("/")) | (F.octet_length(line) > F.length(line)))
+        & F.rlike(line, F.lit(SEPARATORS))
         & F.rlike(line, F.lit(r"\p{L}{2}"))
         & (separators >= rules.bars)
         & (separators * 100 > n * rules.bar_percent)

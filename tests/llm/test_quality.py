@@ -1,10 +1,12 @@
 import re
 from collections import defaultdict
 
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from edge_cases import edge_docs, no_docs  # noqa: F401
 
+from panelcast.llm.oracle import OP3
 from panelcast.llm.quality import Rules, clean, judge
 
 
@@ -80,6 +82,31 @@ def test_menus_by_their_separators(spark):
     assert found == [1] * len(lines) + [0] * len(prose)
 
 
+marks = "»›→▸▶❯•‣∙⋅·/|«‹"
+line_pieces = st.lists(
+    st.sampled_from(
+        [*marks, *(f" {m} " for m in marks), "a", "é b", "文字", " ", "  ", "\x0b", "\t", "\n", "#", "!!"]
+        + ["。", "۔", "،", ", ", ".", "word " * 31, PROSE, "x1 x2 x3 " * 11, " ".join("abcdefghijklmnopq"), "Terms of Use"]
+    ),
+    max_size=14,
+)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(line_pieces.map("".join), min_size=60, max_size=80))
+def test_the_statement_states_the_rules(spark, texts):
+    """Whole texts and the lines of menus, verse and scripts above, judged by the SQL as well."""
+    names = ["Home", "News", "Sport", "Contact", "Imprint"]
+    texts = texts + [f" {m} ".join(names) for m in marks] + [m.join(names) for m in marks]
+    texts += ["paral·lel col·legi il·lusió a·b·c·d", "« Oui » , « Non » , « Peut » et « Rien »", "/ a / / b / c"]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    told = connection.execute(OP3).df().sort_values("doc_id").to_dict("records")
+    for text, row, expected in zip(texts, judged(spark, texts), told, strict=True):
+        assert {k: row[k] for k in expected} == expected, text
+
+
 def test_document_that_loses_too_much_goes(spark):
     junk = "Home | News | Sport | Contact | Imprint | Search\n"
     docs = spark.createDataFrame(
