@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from panelcast.functions.nulls import zero_fill
 from panelcast.operators import calendar as months
 from panelcast.operators import catalog as series
-from panelcast.operators import features, grid, model, publish, roll
+from panelcast.operators import features, grid, model, origins, publish, roll
 from panelcast.operators.boosting import Boosting
 from panelcast.plans.outlook import Panel, outlook_of, run_outlook, store_lagged
 from panelcast.schema import (
@@ -282,6 +282,13 @@ def predicted_cells(b: Bound) -> DataFrame:
     )
 
 
+def rolling_origins(b: Bound) -> DataFrame:
+    """The fixed weights at four earlier cut-offs of the panel."""
+    return origins.rolling_origins(
+        b.measure("ca"), fixed(), origins.cut_offs(b.bounds.last_month), b.scratch
+    )
+
+
 def join_measures(b: Bound) -> DataFrame:
     return publish.join_measures(b.labelled_one("ca"), b.labelled_one("mg"))
 
@@ -449,6 +456,8 @@ STAGES: dict[str, Callable[[Bound], DataFrame]] = {
     "recursive_predict": lambda b: b.rolled("ca", boosted(), "each_step"),
     "predict_all_measures": predict_all_measures,
     "predicted_cells": predicted_cells,
+    "rolling_origins": rolling_origins,
+    "origin_errors": lambda b: origins.origin_errors(rolling_origins(b)),
     "split_actual_predicted": lambda b: b.shaped_one("ca"),
     "future_slice": lambda b: months.months_from(b.shaped_one("ca"), b.bounds.current_month),
     "last_horizon_slice": lambda b: months.month_slice(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelcast.operators.boosting import Boosting
+from panelcast.operators.origins import FRACTION
 from panelcast.plans import boosting_sql
 
 # Fixed values of the test tables and their clock.
@@ -104,6 +105,26 @@ def _outlook(name: str, last: int, trees: bool = False) -> list[str]:
     ]
 
 
+# Four cut-offs, half a year apart, the last one half a year before the last complete month.
+_ORIGINS = f"""origin_state AS (
+  SELECT a.month AS origin, a.series_id, a.month, a.ca AS y, b.ca AS before
+  FROM cells a JOIN cells b ON a.series_id = b.series_id AND b.month = a.month - 1
+  WHERE a.month IN ({", ".join(str(LAST - HORIZON * k) for k in range(1, 5))})
+  UNION ALL
+  SELECT origin, series_id, month + 1, 0.5 * y + 0.5 * before, y
+  FROM origin_state WHERE month < origin + {HORIZON}),
+judged AS (
+  SELECT CAST(origin AS INTEGER) AS origin, series_id, CAST(s.month AS INTEGER) AS month,
+         CAST(s.month - origin AS INTEGER) AS lead, c.ca AS y, s.y AS y_pred
+  FROM origin_state s JOIN cells c USING (series_id, month) WHERE s.month > origin),
+wrong AS (
+  SELECT lead, count(*) AS n_cells, max(abs(y_pred - y)) AS worst_error,
+         CAST(sum(CAST(floor((y_pred - y) * {FRACTION} + 0.5) AS HUGEINT)) AS DOUBLE) AS errors,
+         CAST(sum(CAST(floor(abs(y_pred - y) * {FRACTION} + 0.5) AS HUGEINT)) AS DOUBLE) AS abs_errors,
+         CAST(sum(CAST(floor(abs(y) * {FRACTION} + 0.5) AS HUGEINT)) AS DOUBLE) AS amounts
+  FROM judged GROUP BY lead)"""
+
+
 def _with(parts: list[str], select: str) -> str:
     recursive = any("_state AS (" in part or "UNION ALL (" in part for part in parts)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
@@ -244,6 +265,13 @@ def statements() -> dict[str, str]:
         "recursive_predict_fixed": _with(
             _BASE + [_roll("rolled", "ca", LAST)], "SELECT series_id, month, y_pred FROM rolled"
         ),
+        "rolling_origins": _with(_BASE + [_ORIGINS], "SELECT * FROM judged"),
+        "origin_errors": _with(
+            _BASE + [_ORIGINS],
+            f"SELECT lead, n_cells, errors / n_cells / {FRACTION} AS mean_error, "
+            f"abs_errors / n_cells / {FRACTION} AS mean_abs_error, worst_error, "
+            "CASE WHEN amounts > 0 THEN abs_errors / amounts END AS abs_error_share FROM wrong",
+        ),
         "fit_pooled_model": _with(
             _BASE,
             f"SELECT CAST({N_TREES} AS INTEGER) AS n_trees, "
