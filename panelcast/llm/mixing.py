@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.ordinals import number_members
-from panelcast.llm.text import fresh_name, n_words, whole
+from panelcast.llm.text import bind, fresh_name, n_words, whole
 from panelcast.sources.scratch import Scratch
 
 WEIGHTS = (1, 2, 3)
@@ -310,12 +310,18 @@ def _sampled(size: Column, odds: Column, rank: Column) -> Column:
 
 
 def _copies(doc_id: Column, size: Column, u: Column) -> Column:
-    """How often a document is taken, next to the row of its source in ``cuts``."""
-    odds = _odds(size, u)
-    rank = _rank(odds, doc_id, size)
-    fills = F.exists(F.col("fills"), lambda f: f.eqNullSafe(rank))
-    chosen = _sampled(size, odds, rank) | F.coalesce(fills, F.lit(False))
-    return F.col("whole") + F.when(chosen, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    """How often a document is taken, next to the row of its source in ``cuts``.
+
+    ``size`` and ``u`` are mentioned many times and should be columns, not what they are made of.
+    """
+
+    def chosen(odds: Column) -> Column:
+        rank = _rank(odds, doc_id, size)
+        fills = F.exists(F.col("fills"), lambda f: f.eqNullSafe(rank))
+        return _sampled(size, odds, rank) | F.coalesce(fills, F.lit(False))
+
+    once_more = F.when(bind(_odds(size, u), chosen), F.lit(1)).otherwise(F.lit(0))
+    return F.col("whole") + once_more.cast("long")
 
 
 def mix(
@@ -370,17 +376,18 @@ def mixed_rows(
     table = cuts(rows, scratch, weights, most_copies)
     own = fresh_name(docs, "own")
     cut = table.select(F.struct(*table.columns).alias(own))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    of_source = F.col(f"doc.`{source}`").cast("string").eqNullSafe(F.col(f"{own}.cut_source"))
-    copies = _copies(
-        F.col(f"doc.`{doc_id}`"),
-        n_words(whole(F.col(f"doc.`{text}`"))),
-        uniform(F.col(f"doc.`{doc_id}`"), seed),
+    # Words are counted below the join, once a text: above it, Spark would put the expression into
+    # every place of the copies and of the filters made of them.
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        n_words(whole(F.col(f"`{text}`"))).alias("size"),
+        uniform(F.col(f"`{doc_id}`"), seed).alias("u"),
     )
+    of_source = F.col(f"doc.`{source}`").cast("string").eqNullSafe(F.col(f"{own}.cut_source"))
     return (
         named.join(cut, of_source)
-        .select("doc", f"{own}.*")
-        .withColumn("copies", copies)
+        .select("doc", "size", "u", f"{own}.*")
+        .withColumn("copies", _copies(F.col(f"doc.`{doc_id}`"), F.col("size"), F.col("u")))
         .filter("copies > 0")
         .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         .select("doc.*")

@@ -158,6 +158,13 @@ def test_rows_follow_the_copies(spark, scratch):
     assert found == {k: v for k, v in copies.items() if v}
 
 
+def test_words_are_counted_once_a_text(spark, scratch, capsys):
+    """The plan that writes the texts splits them in one place, however often sizes are mentioned."""
+    mixed_rows(many(spark, 600), scratch).explain()
+    plan = capsys.readouterr().out
+    assert "Generate explode" in plan and plan.count("split(") == 1
+
+
 def test_edges(edge_docs, no_docs, scratch):
     rows = mix(edge_docs, scratch).collect()
     assert len(rows) == edge_docs.count()
