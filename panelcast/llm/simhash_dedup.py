@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     set if it is set in over half of the shingles' XXH64 sums. Without words it is zero.
     """
 
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh64_intdigest
 
         def of(raw: bytes) -> int:
@@ -48,10 +49,11 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
                 votes += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
             return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
+        # Texts leave the batch one by one; a list of them would hold the batch once more.
         for texts in batches:
-            yield pd.Series([of(raw) for raw in texts], dtype="int64")
+            yield pa.array((of(raw.as_py()) for raw in texts), pa.int64(), size=len(texts))
 
-    return F.pandas_udf(compute, "long")(whole(text).cast("binary"))
+    return F.arrow_udf(compute, "long")(whole(text).cast("binary"))
 
 
 def fingerprint_digits(fingerprint: Column) -> Column:
@@ -173,15 +175,16 @@ def near_groups(
         ),
         "fingerprints",
     )
-    rooted = _rooted(rows, scratch, most_bits)
+    rooted = _rooted(rows, F.min("doc_id").alias("least"), scratch, most_bits)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(groups, "root").select("fp", "component_id")
     return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def _rooted(rows: DataFrame, scratch: Scratch, most_bits: int) -> DataFrame:
-    """``(fp, least, root)``, a row for each fingerprint: its smallest id and its component."""
-    classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+def _rooted(rows: DataFrame, least: Column, scratch: Scratch, most_bits: int) -> DataFrame:
+    """``(fp, least, root)``, a row for each fingerprint: the least of its rows, an aggregate named
+    ``least``, and its component."""
+    classes = scratch.save(rows.groupBy("fp").agg(least), "classes")
     roots = component_roots(near_links(classes, most_bits), scratch)
     return classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -201,19 +204,26 @@ def drop_near_copies(
     A group is what links connect, whatever its ids: groups without any id, or with the same
     smallest id (an id repeated with unlike texts), keep a document each. Null ids come last; of
     equal ids in a group the one with the smallest fingerprint stays. Repeated rows are copies of
-    one another: one of them stays.
+    one another: one of them stays. Which row stays is found by numbers of the rows; the other
+    columns are shuffled once, by the join with the numbers that stay, and never aggregated.
     """
-    fp = fresh_name(docs, "fp")
-    first_id, first_fp = fresh_name(docs, "first_id"), fresh_name(docs, "first_fp")
+    fp, place = fresh_name(docs, "fp"), fresh_name(docs, "place")
+    first_place = fresh_name(docs, "first_place")
     marked = scratch.save(
-        docs.withColumn(fp, fingerprint_column(F.col(text), shingle)), "fingerprinted"
+        docs.withColumn(fp, fingerprint_column(F.col(text), shingle)).withColumn(
+            place, F.monotonically_increasing_id()
+        ),
+        "fingerprinted",
+    )
+    rows = marked.select(
+        F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(place).alias("place")
     )
-    rows = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
     first = (
-        _rooted(rows, scratch, most_bits)
+        _rooted(rows, least.alias("least"), scratch, most_bits)
         .groupBy("root")
-        .agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("first"))
-        .select(F.col("first.least").alias(first_id), F.col("first.fp").alias(first_fp))
+        .agg(F.min(F.struct("least.no_id", "least.doc_id", "fp", "least.place")).alias("first"))
+        .select(F.col("first.place").alias(first_place))
     )
-    same = (F.col(fp) == F.col(first_fp)) & F.col(doc_id).eqNullSafe(F.col(first_id))
-    return marked.join(first, same, "left_semi").dropDuplicates([doc_id, fp]).drop(fp)
+    kept = marked.join(first, F.col(place) == F.col(first_place), "left_semi")
+    return kept.drop(fp, place)

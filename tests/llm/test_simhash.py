@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -112,3 +113,23 @@ def test_a_chain_is_one_component(spark, scratch):
     roots = component_roots(spark.createDataFrame(edges, "u long, v long"), scratch)
     found = {r["node"]: r["root"] for r in roots.collect()}
     assert found == {**{i: 0 for i in range(1, 201)}, 1002: 1001}
+
+
+def test_texts_pass_one_shuffle_on_the_way_to_what_stays(spark, scratch):
+    """Which row stays is found among narrow rows; the texts are joined once, never aggregated."""
+    text = "one two three four five"
+    rows = [(7, text, "a", "x"), (7, text, "a", "x"), (9, text, "b", "y"), (8, "six seven", "c", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string, first_place string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = drop_near_copies(docs, scratch)
+        plan = kept._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert sum("text#" in columns for columns in shuffled) == 1
+        assert not re.search(r"first\w*\(text#", plan)
+        assert sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
